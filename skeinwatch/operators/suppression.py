@@ -29,8 +29,10 @@ def validate_rules(rules: DataFrame) -> DataFrame:
         .when(by_source & F.col("source_ip").isNull(), "source_ip missing")
         .when((F.col("rule_type") == "destination_ip") & F.col("destination_ip").isNull(), "destination_ip missing")
     )
-    return checked.drop("_src", "_dst").withColumn("reason", reason).withColumn(
-        "valid", F.col("reason").isNull()
+    return (
+        checked.withColumn("reason", reason)
+        .withColumn("valid", F.col("reason").isNull())
+        .drop("_src", "_dst")
     )
 
 
