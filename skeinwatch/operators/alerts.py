@@ -24,53 +24,99 @@ def incident_id(src_ip: Column, start_us: Column) -> Column:
     )
 
 
-def correlate(rows: DataFrame, window_seconds: int = 300) -> DataFrame:
-    """Adds incident_id and stage_mask (classes seen in the incident up to this record).
+_FIRSTS = [f"_first{bit}" for bit in BIT.values()]
+STATE_COLUMNS = ["_src", "_b", "_lo", "_hi", *_FIRSTS]
 
-    rows: seq, ts_us, src_ip, mask. Records of one source that fall into one bucket of the
-    correlation window always belong together, so each (source, bucket) is first reduced to
-    its first and last stamp and the first sighting of every class; only these summaries are
-    ordered per source. A source that raises a third of all alerts is a few summaries per
-    window of time, and the join back splits on (source, bucket).
-    """
-    width = window_seconds * SECOND
-    src = F.nullif(F.col("src_ip"), F.lit(""))
-    keyed = rows.withColumn("_src", F.coalesce(src, F.lit(""))).withColumn(
-        "_b", bucket_of(F.col("ts_us"), width)
-    )
-    here = F.struct(F.col("ts_us").alias("t"), F.col("seq").alias("s"))
-    firsts = [f"_first{bit}" for bit in BIT.values()]
-    summary = keyed.groupBy("_src", "_b").agg(
+
+def _keyed(rows: DataFrame, width: int) -> DataFrame:
+    src = F.coalesce(F.nullif(F.col("src_ip"), F.lit("")), F.lit(""))
+    return rows.withColumn("_src", src).withColumn("_b", bucket_of(F.col("ts_us"), width))
+
+
+def _here() -> Column:
+    return F.struct(F.col("ts_us").alias("t"), F.col("seq").alias("s"))
+
+
+def _summaries(keyed: DataFrame) -> DataFrame:
+    """Per (source, bucket): first and last stamp, first sighting of every class."""
+    return keyed.groupBy("_src", "_b").agg(
         F.min("ts_us").alias("_lo"),
         F.max("ts_us").alias("_hi"),
         *[
-            F.min(F.when(F.col("mask").bitwiseAND(F.lit(bit)) != 0, here)).alias(name)
-            for name, bit in zip(firsts, BIT.values())
+            F.min(F.when(F.col("mask").bitwiseAND(F.lit(bit)) != 0, _here())).alias(name)
+            for name, bit in zip(_FIRSTS, BIT.values())
         ],
     )
+
+
+def _islands(summary: DataFrame, width: int) -> DataFrame:
+    """Summaries with the extent and first sightings of their incident."""
     by_time = Window.partitionBy("_src").orderBy("_b")
     opens = F.coalesce(F.col("_lo") - F.lag("_hi").over(by_time) > width, F.lit(True))
     # records without a source share one stage set and no incident
     summary = summary.withColumn("_opens", (opens & (F.col("_src") != "")).cast("int"))
     summary = summary.withColumn("_island", F.sum("_opens").over(by_time))
     island = Window.partitionBy("_src", "_island")
-    summary = summary.select(
-        "_src", "_b", F.min("_lo").over(island).alias("_start"),
-        *[F.min(name).over(island).alias(name) for name in firsts],
+    return summary.select(
+        "_src", "_b", "_island",
+        F.min("_lo").over(island).alias("_start"),
+        F.max("_hi").over(island).alias("_end"),
+        *[F.min(name).over(island).alias(name) for name in _FIRSTS],
     )
-    seen = [
-        F.when(F.col(name) <= here, F.lit(bit)).otherwise(0)
-        for name, bit in zip(firsts, BIT.values())
-    ]
-    mask = seen[0]
-    for s in seen[1:]:
-        mask = mask + s
+
+
+def _apply_islands(keyed: DataFrame, islands: DataFrame) -> DataFrame:
+    mask = F.lit(0)
+    for name, bit in zip(_FIRSTS, BIT.values()):
+        mask = mask + F.when(F.col(name) <= _here(), F.lit(bit)).otherwise(0)
     return (
-        keyed.join(summary, ["_src", "_b"])
-        .withColumn("incident_id", incident_id(src, F.col("_start")))
+        keyed.join(islands, ["_src", "_b"])
+        .withColumn("incident_id", incident_id(F.nullif(F.col("src_ip"), F.lit("")), F.col("_start")))
         .withColumn("stage_mask", mask)
-        .drop("_src", "_b", "_start", *firsts)
+        .drop("_src", "_b", "_island", "_start", "_end", *_FIRSTS)
+    )
+
+
+def correlate(rows: DataFrame, window_seconds: int = 300) -> DataFrame:
+    """Adds incident_id and stage_mask (classes seen in the incident up to this record).
+
+    rows: seq, ts_us, src_ip, mask. Records of one source that fall into one bucket of the
+    correlation window always belong together, so each (source, bucket) is first reduced to
+    its first and last stamp and the first sighting of every class; only these summaries are
+    ordered per source. A source that raises a third of all alerts is a few summaries per
+    window of time, and the join back splits on (source, bucket).
+    """
+    width = window_seconds * SECOND
+    keyed = _keyed(rows, width)
+    return _apply_islands(keyed, _islands(_summaries(keyed), width))
+
+
+def correlate_onto(
+    rows: DataFrame, state: DataFrame | None, window_seconds: int, horizon_us: int
+) -> tuple[DataFrame, DataFrame]:
+    """`correlate` for one micro-batch: open incidents come in and go out as `state`.
+
+    An incident that has not ended before the horizon is carried as a single summary.
+    """
+    width = window_seconds * SECOND
+    keyed = _keyed(rows, width)
+    summary = _summaries(keyed)
+    if state is not None:
+        summary = summary.unionByName(state).groupBy("_src", "_b").agg(
+            F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), *[F.min(f).alias(f) for f in _FIRSTS]
+        )
+    islands = _islands(summary, width)
+    carried = (
+        islands.groupBy("_src", "_island")
+        .agg(
+            F.min("_start").alias("_lo"), F.max("_end").alias("_hi"),
+            *[F.min(f).alias(f) for f in _FIRSTS],
+        )
+        .filter(F.col("_hi") >= horizon_us - width)
+        .withColumn("_b", bucket_of(F.col("_hi"), width))
+        .select(*STATE_COLUMNS)
     )
+    return _apply_islands(keyed, islands), carried
 
 
 def stage_names(mask: Column) -> Column:

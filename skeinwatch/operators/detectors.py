@@ -350,19 +350,21 @@ def probe_window(rows: DataFrame, tie: str = "peers", wanted: Column | None = No
     )
 
 
-def with_features(rows: DataFrame, th, tie: str = "peers") -> DataFrame:
+def with_features(rows: DataFrame, th, tie: str = "peers", emit: Column | None = None) -> DataFrame:
     """Records with everything the default detectors need.
 
     Only instants that can matter leave the windows: inbound-heavy records for the target
-    window, probe-shaped records for the source windows.
+    window, probe-shaped records for the source windows. With `emit`, the other records only
+    fill the windows (history of a stream).
     """
-    inbound = _packets("packets_in", 0) > _packets("packets_out", 0)
-    probes = probe_profile(th)
+    emit = F.lit(True) if emit is None else emit
+    inbound = emit & (_packets("packets_in", 0) > _packets("packets_out", 0))
+    probes = emit & probe_profile(th)
     target = target_window(rows, tie, wanted=inbound)
     fan = source_fan_out(rows, tie, wanted=probes)
     sweep = probe_window(rows, tie, wanted=probes)
     flow = flow_window(rows, tie=tie)
-    full = rows.withColumn("target", target_key(col("dst_ip"), col("dst_port")))
+    full = rows.filter(emit).withColumn("target", target_key(col("dst_ip"), col("dst_port")))
     full = attach(full, target, ["target"], tie)
     full = attach(full, fan, ["src_ip"], tie)
     full = attach(full, sweep, ["src_ip"], tie)

@@ -9,19 +9,25 @@ from skeinwatch.operators.thresholds import Thresholds
 from skeinwatch.sources.work import materialize
 
 
-def candidate_records(flows: DataFrame, th=None, tie: str = "peers", detectors=None) -> DataFrame:
+def candidate_records(
+    flows: DataFrame, th=None, tie: str = "peers", detectors=None, emit: Column | None = None
+) -> DataFrame:
     """Records on which a detector fires, written once to the shared work folder.
 
     This is a small part of the traffic; everything after it works on that part only.
     """
     th = th or Thresholds()
-    hits = firing(with_features(flows, th, tie), th, detectors)
+    hits = firing(with_features(flows, th, tie, emit), th, detectors)
     return materialize(hits, "candidates")
 
 
+def with_mask(found: DataFrame) -> DataFrame:
+    return found.withColumn("mask", class_mask(F.col("candidates")))
+
+
 def alerts_from_candidates(hits: DataFrame, th=None, detectors=None) -> DataFrame:
     th = th or Thresholds()
-    found = detect(hits, th, detectors).withColumn("mask", class_mask(F.col("candidates")))
+    found = with_mask(detect(hits, th, detectors))
     return assemble(correlate(found, th.value("correlation.window_seconds")))
 
 

@@ -55,8 +55,12 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
 
 
 def correlated_records(conn: DataFrame, dns: DataFrame, ssl: DataFrame) -> DataFrame:
-    """The three logs as one event stream, connections enriched by session."""
-    return union_records(enrich_by_uid(conn, dns, ssl), dns, ssl)
+    """The three logs as one event stream, connections enriched by session.
+
+    Record numbers start per log, so they are spread to stay unique in the union.
+    """
+    parts = [enrich_by_uid(conn, dns, ssl), dns, ssl]
+    return union_records(*[p.withColumn("seq", F.col("seq") * 3 + i) for i, p in enumerate(parts)])
 
 
 def _common() -> list[Column]:
