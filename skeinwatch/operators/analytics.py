@@ -30,24 +30,18 @@ def _capped(alerts: DataFrame, max_alerts: int | None) -> DataFrame:
 
 def trends(
     alerts: DataFrame,
-    as_of_us: Column,
+    as_of_us: int,
     window_minutes: int = 60,
     bucket_minutes: int = 5,
     max_alerts: int | None = None,
 ) -> DataFrame:
-    """Alerts per class in aligned buckets, empty buckets included: window/bucket + 1 points.
-
-    as_of_us is a literal or a column of `alerts` (constant over the rows).
-    """
+    """Alerts per class in aligned buckets, empty buckets included: window/bucket + 1 points."""
     width = bucket_minutes * 60 * SECOND
-    return _bucket_counts(
-        _capped(alerts, max_alerts), width,
-        F.floor((as_of_us - window_minutes * 60 * SECOND) / width) * width,
-        window_minutes * 60 // (bucket_minutes * 60) + 1,
-    )
+    start = (as_of_us - window_minutes * 60 * SECOND) // width * width
+    return _bucket_counts(_capped(alerts, max_alerts), width, start, window_minutes // bucket_minutes + 1)
 
 
-def sliding_trend(alerts: DataFrame, as_of_us: Column, window_minutes: int = 5) -> DataFrame:
+def sliding_trend(alerts: DataFrame, as_of_us: int, window_minutes: int = 5) -> DataFrame:
     """Alerts per class in 30 or 60 slices that end at as_of (slices are not aligned)."""
     points = 30 if window_minutes <= 1 else 60
     span = window_minutes * 60 * SECOND
@@ -57,19 +51,14 @@ def sliding_trend(alerts: DataFrame, as_of_us: Column, window_minutes: int = 5)
 
 def _bucket_counts(alerts, width, start, points):
     counted = (
-        alerts.withColumn("_start", start)
-        .filter(F.col("ts_us") >= F.col("_start"))
-        .withColumn("point", F.floor((F.col("ts_us") - F.col("_start")) / width))
-        .groupBy("_start", "point")
+        alerts.filter(F.col("ts_us") >= start)
+        .groupBy(F.floor((F.col("ts_us") - start) / width).alias("point"))
         .pivot("threat_class", S.THREAT_CLASSES)
         .count()
     )
-    grid = (
-        alerts.select(start.alias("_start")).distinct()
-        .withColumn("point", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))))
-    )
-    return grid.join(counted, ["_start", "point"], "left").select(
-        (F.col("_start") + F.col("point") * width).alias("bucket_us"),
+    grid = alerts.sparkSession.range(points).withColumnRenamed("id", "point")
+    return grid.join(counted, "point", "left").select(
+        (F.col("point") * width + start).alias("bucket_us"),
         *[F.coalesce(F.col(f"`{c}`"), F.lit(0).cast("bigint")).alias(c) for c in S.THREAT_CLASSES],
     )
 

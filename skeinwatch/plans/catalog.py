@@ -1119,7 +1119,7 @@ _AS_OF_60 = BASE_US + 1800 * 1000000
     SELECT CAST(s + point * 300000000 AS BIGINT) AS bucket_us, {_CLASS_ZERO} FROM gr JOIN st ON TRUE LEFT JOIN cc USING (point)""",
 )
 def _(spark, d):
-    return an.trends(archived_alerts(spark, d), F.lit(_AS_OF_60))
+    return an.trends(archived_alerts(spark, d), _AS_OF_60)
 
 
 @query(
@@ -1130,7 +1130,7 @@ def _(spark, d):
     SELECT CAST({_AS_OF_60 - 300000000} + point * 5000000 AS BIGINT) AS bucket_us, {_CLASS_ZERO} FROM gr LEFT JOIN cc USING (point)""",
 )
 def _(spark, d):
-    return an.sliding_trend(archived_alerts(spark, d), F.lit(_AS_OF_60))
+    return an.sliding_trend(archived_alerts(spark, d), _AS_OF_60)
 
 
 @query(

@@ -14,7 +14,10 @@ from skeinwatch import schemas as S  # noqa: E402
 def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
+        # tiny inputs: compiling a stage costs more than running it interpreted
+        .config("spark.sql.codegen.wholeStage", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
