@@ -40,6 +40,8 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.driver.memory", "20g")
         .config("spark.sql.shuffle.partitions", cpus)
+        # the input is one file: a join planned as broadcast would stay in its single scan task
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

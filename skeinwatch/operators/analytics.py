@@ -237,47 +237,3 @@ def detector_counts(candidates: DataFrame) -> DataFrame:
     return candidates.select(fired.alias("detectors_fired"), F.size("candidates").alias("detector_count")).groupBy(
         "detectors_fired", "detector_count"
     ).agg(F.count(F.lit(1)).alias("records"))
-
-
-def adaptive_baseline(
-    events: DataFrame, key: str, pps: Column, mean: float = 50.0, std: float = 30.0, alpha: float = 0.02,
-) -> DataFrame:
-    """Per key: exponentially weighted mean and deviation, updated only by calm traffic.
-
-    The update depends on the state (values above 2.5 times the mean are skipped), so it is
-    a fold in time order and cannot be split. The state after each flush of a batch is two
-    numbers; `adapt_in_chunks` streams a key's values through it in sorted pieces.
-    """
-    return _fold(events, key, pps, mean, std, alpha)
-
-
-def _fold(events, key, pps, mean, std, alpha):
-    import pandas as pd
-
-    ordered = (
-        events.select(F.col(key).alias("k"), "ts_us", "seq", pps.cast("double").alias("pps"))
-        .repartition("k")
-        .sortWithinPartitions("k", "ts_us", "seq")
-    )
-
-    def run(batches):
-        current, m, s, n = None, mean, std, 0
-        for pdf in batches:
-            done = []
-            for k, group in pdf.groupby("k", sort=False)["pps"]:
-                if k != current:
-                    if current is not None:
-                        done.append((current, m, s, n))
-                    current, m, s, n = k, mean, max(std, 1.0), 0
-                for x in group.to_numpy():
-                    n += 1
-                    if x < m * 2.5:
-                        d = x - m
-                        m += alpha * d
-                        s = max(1.0, (s * s * (1 - alpha) + alpha * d * d) ** 0.5)
-            if done:
-                yield pd.DataFrame(done, columns=["key", "ema_mean", "ema_std", "n"])
-        if current is not None:
-            yield pd.DataFrame([(current, m, s, n)], columns=["key", "ema_mean", "ema_std", "n"])
-
-    return ordered.mapInPandas(run, "key string, ema_mean double, ema_std double, n bigint")

@@ -1,12 +1,15 @@
 """The six detectors over a record and its window features.
 
-A detector is a function `(th) -> Finding`: a cheap condition, used to drop the silent bulk
-of the traffic early, and a struct of schema CANDIDATE that is null when it stays silent.
+A detector is a function `(th) -> Finding`: helper columns in layers (each layer may use the
+one before, so nothing is computed twice), a condition used to drop the silent bulk of the
+traffic early, and a struct of schema CANDIDATE that is null when the detector stays silent.
 `th` resolves thresholds. `DETECTORS` is the default registry; any list of such functions
 can replace it.
 """
 
 from functools import reduce
+from inspect import signature
+from itertools import count, zip_longest
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,9 +29,13 @@ col = F.col
 class Finding(NamedTuple):
     fires: Column
     candidate: Column
+    layers: list[dict[str, Column]] = []
 
 
-def candidate(fires: Column, threat_class: str, confidence: Column, details: Column, **fields) -> Finding:
+def candidate(
+    fires: Column, threat_class: str, confidence: Column, details: Column,
+    layers: list[dict[str, Column]] | None = None, **fields,
+) -> Finding:
     """Uniform candidate struct; unnamed fields are 0 or null as the evidence contract says."""
     values = {
         "inter_arrival_variance": F.lit(0.0), "shannon_entropy": F.lit(0.0),
@@ -40,7 +47,7 @@ def candidate(fires: Column, threat_class: str, confidence: Column, details: Col
     struct = F.struct(
         *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.CANDIDATE.fields]
     )
-    return Finding(F.coalesce(fires, F.lit(False)), F.when(fires, struct))
+    return Finding(F.coalesce(fires, F.lit(False)), F.when(fires, struct), layers or [])
 
 
 def _count(name: str) -> Column:
@@ -60,26 +67,42 @@ def has_flag(name: str) -> Column:
     return F.coalesce(F.array_contains("flags", name), F.lit(False))
 
 
-def ddos(th, prefix: str = "t10") -> Finding:
+def _record_ratio() -> tuple[Column, dict[str, Column]]:
+    """Byte ratio of the record itself, one column shared by the detectors that report it."""
+    return col("_ratio"), {"_ratio": flow_ratio(_count("bytes_out"), _count("bytes_in"))}
+
+
+def ddos(th, name: str = "_dd", window: str = "t10") -> Finding:
     pin, pout = _packets("packets_in", 0), _packets("packets_out", 0)
-    win_pps = rnd_small(_count(f"{prefix}_count") / 10, 2)
-    pps = F.greatest(pin.cast("double"), pout.cast("double"), win_pps)
-    inbound = pin > pout
-    z = z_score(pps, th("ddos.baseline_pps_mean"), th("ddos.baseline_pps_std"))
-    sigma = th("ddos.sigma_threshold")
+    win_pps = rnd_small(_count(f"{window}_count") / 10, 2)
     is_syn = has_flag("SYN") & ~has_flag("ACK")
-    syn_count = _count(f"{prefix}_syn") + is_syn.cast("bigint")
-    syn_ratio = F.when(
-        is_syn, syn_count / F.greatest(_count(f"{prefix}_count"), F.lit(1))
-    ).otherwise(0.0)
-    strong = pps >= th("ddos.min_surge_pps")
-    surge = (z >= sigma) & strong
-    flood = (is_syn & (pin >= th("ddos.syn_packet_burst"))) | (
-        (syn_ratio >= th("ddos.syn_ratio_threshold")) & strong
+    sigma = th("ddos.sigma_threshold")
+    pps, syn, syn_count, z, syn_ratio, strong, flood, udp = (
+        col(f"{name}_{x}") for x in ("pps", "syn", "syn_count", "z", "syn_ratio", "strong", "flood", "udp")
     )
-    udp = (col("protocol") == "UDP") & (pps >= th("ddos.min_udp_pps")) & (z >= sigma)
+    ratio, shared = _record_ratio()
+    layers = [
+        {
+            **shared,
+            f"{name}_pps": F.greatest(pin.cast("double"), pout.cast("double"), win_pps),
+            f"{name}_syn": is_syn,
+            f"{name}_syn_count": _count(f"{window}_syn") + is_syn.cast("bigint"),
+        },
+        {
+            f"{name}_z": z_score(pps, th("ddos.baseline_pps_mean"), th("ddos.baseline_pps_std")),
+            f"{name}_syn_ratio": F.when(
+                syn, syn_count / F.greatest(_count(f"{window}_count"), F.lit(1))
+            ).otherwise(0.0),
+            f"{name}_strong": pps >= th("ddos.min_surge_pps"),
+        },
+        {
+            f"{name}_flood": (syn & (pin >= th("ddos.syn_packet_burst")))
+            | ((syn_ratio >= th("ddos.syn_ratio_threshold")) & strong),
+            f"{name}_udp": (col("protocol") == "UDP") & (pps >= th("ddos.min_udp_pps")) & (z >= sigma),
+        },
+    ]
     conf = F.least(F.lit(0.99), 0.75 + F.least(F.lit(0.24), (z - 3.0) * 0.03))
-    sources = F.coalesce(col(f"{prefix}_sources"), F.lit(1).cast("bigint"))
+    sources = F.coalesce(col(f"{window}_sources"), F.lit(1).cast("bigint"))
     label = (
         F.when(flood & (sources > 1), "Distributed SYN Flood")
         .when(flood, "SYN Flood / DoS")
@@ -91,10 +114,9 @@ def ddos(th, prefix: str = "t10") -> Finding:
         label, col("dst_ip"), rnd(pps, 1), sources, rnd(z, 2), rnd(sigma, 1), rnd(syn_ratio, 2),
     )
     return candidate(
-        inbound & (surge | flood | udp) & _bytes_ok(), S.DDOS,
-        F.when(flood, F.greatest(conf, F.lit(0.92))).otherwise(conf), details,
-        byte_ratio=flow_ratio(_count("bytes_out"), _count("bytes_in")),
-        inbound_connections=syn_count, outbound_connections=pout,
+        (pin > pout) & (((z >= sigma) & strong) | flood | udp) & _bytes_ok(), S.DDOS,
+        F.when(flood, F.greatest(conf, F.lit(0.92))).otherwise(conf), details, layers,
+        byte_ratio=ratio, inbound_connections=syn_count, outbound_connections=pout,
         observation_window_seconds=F.lit(10), packets_per_second=pps, z_score=z,
         source_ip_entropy=col("source_ip_entropy"), unique_source_count=sources,
     )
@@ -143,6 +165,7 @@ def dns_lexical() -> DataFrame | list[Column]:
 
 
 def dns(th) -> Finding:
+    ratio, shared = _record_ratio()
     q, h = col("dns_query"), col("dns_entropy")
     length = F.length(q)
     qtype = F.upper(F.coalesce(F.nullif(col("dns_query_type"), F.lit("")), F.lit("A")))
@@ -166,8 +189,8 @@ def dns(th) -> Finding:
         mechanism, F.substring(q, 1, 50), rnd_small(h, 2), rnd(limit, 2), length, qtype,
     )
     return candidate(
-        (length > 0) & ((h >= limit) | long_name | txt_tunnel) & _bytes_ok(), S.DGA, conf, details,
-        shannon_entropy=h, byte_ratio=flow_ratio(_count("bytes_out"), _count("bytes_in")),
+        (length > 0) & ((h >= limit) | long_name | txt_tunnel) & _bytes_ok(), S.DGA, conf, details, [shared],
+        shannon_entropy=h, byte_ratio=ratio,
         ngram_score=rnd_small(col("dns_bigrams"), 4),
     )
 
@@ -222,14 +245,15 @@ def _signature_join(rows, signatures, ja3, ja4):
 
 
 def malware(th) -> Finding:
+    ratio, shared = _record_ratio()
     details = F.format_string(
         "Malicious TLS ClientHello fingerprint matched (%s): attributed to %s (ports: %d).",
         F.coalesce(F.nullif(col("ja3_hash"), F.lit("")), col("ja4_hash")),
         col("family"), F.coalesce(col("dst_port"), F.lit(0)),
     )
     return candidate(
-        col("family").isNotNull() & _bytes_ok(), S.MALWARE, F.lit(0.96), details,
-        byte_ratio=flow_ratio(_count("bytes_out"), _count("bytes_in")), ja3_hash=col("ja3_hash"),
+        col("family").isNotNull() & _bytes_ok(), S.MALWARE, F.lit(0.96), details, [shared],
+        byte_ratio=ratio, ja3_hash=col("ja3_hash"),
     )
 
 
@@ -242,11 +266,15 @@ def probe_profile(th) -> Column:
     )
 
 
-def recon(th) -> Finding:
+def recon(th, name: str = "_rc") -> Finding:
     ports, ips, fan = _count("s60_ports"), _count("s60_ips"), _count("s10_fan_out")
-    card = F.greatest(ports, ips, fan)
+    card, shown = col(f"{name}_card"), col(f"{name}_shown")
+    ratio, shared = _record_ratio()
+    layers = [
+        {**shared, f"{name}_card": F.greatest(ports, ips, fan)},
+        {f"{name}_shown": F.greatest(card, F.lit(3).cast("bigint"))},
+    ]
     minimum = th("reconnaissance.min_target_cardinality")
-    shown = F.greatest(card, F.lit(3).cast("bigint"))
     conf = F.least(F.lit(0.98), 0.80 + F.least(F.lit(0.18), (shown - minimum) * 0.03))
     details = F.format_string(
         "Reconnaissance %s detected from %s: %d unique target endpoints probed in window "
@@ -257,19 +285,23 @@ def recon(th) -> Finding:
     # entropy of the two tokens (address, port): one bit unless they are the same text
     pair_entropy = F.when(col("dst_ip") == col("dst_port").cast("string"), 0.0).otherwise(1.0)
     return candidate(
-        (card >= minimum) & probe_profile(th) & _bytes_ok(), S.RECON, conf, details,
-        shannon_entropy=pair_entropy,
-        byte_ratio=flow_ratio(_count("bytes_out"), _count("bytes_in")), fan_out_count=shown,
+        (card >= minimum) & probe_profile(th) & _bytes_ok(), S.RECON, conf, details, layers,
+        shannon_entropy=pair_entropy, byte_ratio=ratio, fan_out_count=shown,
         port_connections=ports, observation_window_seconds=F.lit(60),
         unique_destination_hosts=ips, unique_destination_ports=ports,
         window_10s_fan_out=fan, window_60s_fan_out=F.greatest(ips, ports),
     )
 
 
-def exfil(th) -> Finding:
-    out = F.greatest(_count("bytes_out"), _count("f300_bytes_out"))
-    inn = F.greatest(_count("bytes_in"), _count("f300_bytes_in"))
-    ratio = flow_ratio(out, inn)
+def exfil(th, name: str = "_ex") -> Finding:
+    out, inn, ratio = (col(f"{name}_{x}") for x in ("out", "in", "ratio"))
+    layers = [
+        {
+            f"{name}_out": F.greatest(_count("bytes_out"), _count("f300_bytes_out")),
+            f"{name}_in": F.greatest(_count("bytes_in"), _count("f300_bytes_in")),
+        },
+        {f"{name}_ratio": flow_ratio(out, inn)},
+    ]
     leak = (out >= th("exfiltration.min_egress_bytes")) & (ratio >= th("exfiltration.min_ratio_threshold"))
     bulk = (out >= th("exfiltration.massive_upload_bytes")) & (ratio >= th("exfiltration.massive_upload_ratio"))
     conf = F.least(
@@ -283,21 +315,23 @@ def exfil(th) -> Finding:
         col("src_ip"), col("dst_ip"), out, rnd(ratio, 1),
     )
     return candidate(
-        leak | bulk, S.EXFIL, conf, details,
+        leak | bulk, S.EXFIL, conf, details, layers,
         byte_ratio=ratio, inbound_connections=F.lit(1), outbound_connections=F.lit(1),
         observation_window_seconds=F.lit(300), total_uploaded_bytes=out,
     )
 
 
+_instances = count()
 DETECTORS = [ddos, beacon, dns, malware, recon, exfil]
 
 
 def with_overrides(detector, overrides: dict):
-    """The same detector with thresholds of its own."""
+    """The same detector with thresholds of its own; helper columns get names of their own."""
+    own = Thresholds(overrides)
+    names = {"name": f"_own{next(_instances)}"} if "name" in signature(detector).parameters else {}
 
     def run(th):
-        own = Thresholds(overrides)
-        return detector(lambda key: own(key) if key in overrides else th(key))
+        return detector(lambda key: own(key) if key in overrides else th(key), **names)
 
     return run
 
@@ -384,20 +418,23 @@ _FLOW_FEATURES = {
 }
 
 
-def firing(rows: DataFrame, th=None, detectors=None) -> DataFrame:
-    """Only the records on which at least one detector fires."""
-    th = th or Thresholds()
-    return rows.filter(reduce(lambda a, b: a | b, [d(th).fires for d in (detectors or DETECTORS)]))
+def _with_layers(rows: DataFrame, findings: list[Finding]) -> DataFrame:
+    for layer in zip_longest(*[f.layers for f in findings], fillvalue={}):
+        columns = {k: v for part in layer for k, v in part.items()}
+        if columns:
+            rows = rows.withColumns(columns)
+    return rows
 
 
 def detect(rows: DataFrame, th=None, detectors=None) -> DataFrame:
-    """Adds `candidates`: the non-null results of all detectors, in registry order."""
-    th = th or Thresholds()
-    found = F.array(*[d(th).candidate for d in (detectors or DETECTORS)])
-    return rows.withColumn("candidates", F.filter(found, lambda c: c.isNotNull()))
+    """Records on which at least one detector fires, with `candidates` in registry order."""
+    findings = [d(th or Thresholds()) for d in (detectors or DETECTORS)]
+    fired = _with_layers(rows, findings).filter(reduce(lambda a, b: a | b, [f.fires for f in findings]))
+    found = F.array(*[f.candidate for f in findings])
+    return fired.withColumn("candidates", F.filter(found, lambda c: c.isNotNull()))
 
 
 def detect_one(rows: DataFrame, detector, th=None) -> DataFrame:
     """The candidates of a single detector."""
-    found = detector(th or Thresholds())
-    return rows.filter(found.fires).withColumn("candidate", found.candidate)
+    finding = detector(th or Thresholds())
+    return _with_layers(rows, [finding]).filter(finding.fires).withColumn("candidate", finding.candidate)

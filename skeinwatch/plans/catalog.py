@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skeinwatch import schemas as S
 from skeinwatch.functions import net, scalars as fn
-from skeinwatch.operators import alerts as al, analytics as an, detectors as det, lifecycle as life
+from skeinwatch.operators import alerts as al, analytics as an, baseline as base, detectors as det, lifecycle as life
 from skeinwatch.operators import normalize as norm, packets as pk, suppression as sup, triage as tri
 from skeinwatch.operators import thresholds as thr, windows as win
 from skeinwatch.operators.iat import flow_window
 from skeinwatch.plans import oracle as O
-from skeinwatch.plans.pipeline import alert_pipeline
+from skeinwatch.plans.pipeline import alert_pipeline, candidate_records
 from skeinwatch.sources import archive, captures, logs, topics
 from skeinwatch.sources.event_flows import BASE_US, STEP_US, flows
 from skeinwatch.sources.work import new_path
@@ -666,6 +666,21 @@ def _(spark, d):
     return both.select("seq", F.when(target > 0, target).otherwise(col("s10_count")).alias("packet_count"))
 
 
+@query(
+    "adaptive_baseline",
+    O.FLOWS + f""", x AS (SELECT concat('target:', dst_ip, ':', CAST(dst_port AS VARCHAR)) AS key,
+      list_prepend({{'m': CAST(50.0 AS DOUBLE), 's': CAST(30.0 AS DOUBLE)}},
+        list({{'m': CAST(greatest(packets_in, packets_out) AS DOUBLE), 's': CAST(0.0 AS DOUBLE)}} ORDER BY ts_us, seq)) AS l, count(*) AS n FROM fl GROUP BY 1),
+    y AS (SELECT key, n, list_reduce(l, lambda a, v: CASE WHEN v.m < a.m * 2.5 THEN {{'m': a.m + CAST(0.02 AS DOUBLE) * (v.m - a.m),
+      's': greatest(CAST(1.0 AS DOUBLE), sqrt(a.s * a.s * CAST(0.98 AS DOUBLE) + CAST(0.02 AS DOUBLE) * (v.m - a.m) * (v.m - a.m)))}} ELSE a END) AS st FROM x)
+    SELECT key, {O.r("st.m", 4)} AS ema_mean, {O.r("st.s", 4)} AS ema_std, n FROM y""",
+)
+def _(spark, d):
+    key = fn.target_key(col("dst_ip"), col("dst_port"))
+    b = base.adaptive_baseline(flows(spark, d), key, F.greatest("packets_in", "packets_out"))
+    return b.select("key", fn.rnd(col("ema_mean"), 4).alias("ema_mean"), fn.rnd(col("ema_std"), 4).alias("ema_std"), "n")
+
+
 # --- thresholds ------------------------------------------------------------
 
 _OVERRIDES = [
@@ -771,17 +786,13 @@ def _(spark, d):
 
 @query("detail_text", O.CANDIDATES + " SELECT seq, threat_class, details FROM cands")
 def _(spark, d):
-    from skeinwatch.plans.pipeline import candidate_records
-
-    found = det.detect(candidate_records(flows(spark, d))).select("seq", F.explode("candidates").alias("c"))
+    found = candidate_records(flows(spark, d)).select("seq", F.explode("candidates").alias("c"))
     return found.select("seq", "c.threat_class", "c.details")
 
 
 @query("combine_candidates", O.CANDIDATES + " SELECT seq, threat_class, conf AS confidence FROM cands")
 def _(spark, d):
-    from skeinwatch.plans.pipeline import candidate_records
-
-    found = det.detect(candidate_records(flows(spark, d))).select("seq", F.explode("candidates").alias("c"))
+    found = candidate_records(flows(spark, d)).select("seq", F.explode("candidates").alias("c"))
     return found.select("seq", "c.threat_class", "c.confidence")
 
 
@@ -791,9 +802,7 @@ def _(spark, d):
     FROM cands GROUP BY seq) SELECT detectors_fired, detector_count, count(*) AS records FROM p GROUP BY 1, 2""",
 )
 def _(spark, d):
-    from skeinwatch.plans.pipeline import candidate_records
-
-    return an.detector_counts(det.detect(candidate_records(flows(spark, d))))
+    return an.detector_counts(candidate_records(flows(spark, d)))
 
 
 # --- alerts ----------------------------------------------------------------

@@ -3,31 +3,35 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skeinwatch.operators.alerts import assemble, class_mask, correlate
-from skeinwatch.operators.detectors import detect, firing, with_features
+from skeinwatch.operators.detectors import detect, with_features
 from skeinwatch.operators.suppression import mark_suppressed
 from skeinwatch.operators.thresholds import Thresholds
 from skeinwatch.sources.work import materialize
 
 
+# what alert assembly reads of a record
+RECORD_COLUMNS = [
+    "seq", "ts_us", "flow_id", "src_ip", "src_port", "dst_ip", "dst_port", "protocol",
+    "bytes_out", "bytes_in", "packets_out", "packets_in", "dns_query", "dns_query_type",
+    "ja4_hash", "sni", "splt_packet_sizes", "splt_interarrival_times", "source",
+]
+
+
 def candidate_records(
     flows: DataFrame, th=None, tie: str = "peers", detectors=None, emit: Column | None = None
 ) -> DataFrame:
-    """Records on which a detector fires, written once to the shared work folder.
+    """Records on which a detector fires, with `candidates` and their class `mask`.
 
-    This is a small part of the traffic; everything after it works on that part only.
+    Written once to the shared work folder: this is a small part of the traffic, everything
+    after it works on that part only and reads it more than once.
     """
     th = th or Thresholds()
-    hits = firing(with_features(flows, th, tie, emit), th, detectors)
-    return materialize(hits, "candidates")
-
-
-def with_mask(found: DataFrame) -> DataFrame:
-    return found.withColumn("mask", class_mask(F.col("candidates")))
+    found = detect(with_features(flows, th, tie, emit), th, detectors).select(*RECORD_COLUMNS, "candidates")
+    return materialize(found.withColumn("mask", class_mask(F.col("candidates"))), "candidates")
 
 
-def alerts_from_candidates(hits: DataFrame, th=None, detectors=None) -> DataFrame:
+def alerts_from_candidates(found: DataFrame, th=None) -> DataFrame:
     th = th or Thresholds()
-    found = with_mask(detect(hits, th, detectors))
     return assemble(correlate(found, th.value("correlation.window_seconds")))
 
 
@@ -41,5 +45,5 @@ def alert_pipeline(
 ) -> DataFrame:
     """All alerts of a set of flow records, suppressed ones included and marked."""
     th = th or Thresholds()
-    alerts = alerts_from_candidates(candidate_records(flows, th, tie, detectors), th, detectors)
+    alerts = alerts_from_candidates(candidate_records(flows, th, tie, detectors), th)
     return mark_suppressed(alerts, rules, as_of if as_of is not None else F.current_timestamp())

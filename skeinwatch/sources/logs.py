@@ -1,6 +1,6 @@
 """JSON-lines session logs: reading, normalising and writing."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from skeinwatch import schemas as S
 from skeinwatch.operators.normalize import NORMALIZERS, enrich_by_uid, union_records
@@ -11,25 +11,33 @@ def arrival_order() -> Column:
     return F.monotonically_increasing_id()
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """Adds `e` (null when malformed) to lines (value, seq); blanks and '#' lines are dropped."""
-    text = F.trim("value")
-    return (
-        lines.withColumn("value", text)
-        .filter((F.col("value") != "") & ~F.col("value").startswith("#"))
-        .withColumn("e", F.from_json("value", S.LOG_ENTRY, {"mode": "PERMISSIVE"}))
-        # a malformed line parses to a struct of nulls: a log entry is an object with content
-        .withColumn(
-            "e",
-            F.when(
-                F.col("value").startswith("{") & F.col("value").endswith("}")
-                & F.expr("try_parse_json(value) IS NOT NULL"),
-                F.col("e"),
-            ),
-        )
+_PARSED = T.StructType(S.LOG_ENTRY.fields + [T.StructField("_malformed", T.StringType())])
+
+
+def _content(lines: DataFrame) -> DataFrame:
+    """Blank and '#' lines are no entries."""
+    return lines.withColumn("value", F.trim("value")).filter(
+        (F.col("value") != "") & ~F.col("value").startswith("#")
     )
 
 
+def _entry() -> Column:
+    return F.from_json("value", _PARSED, {"columnNameOfCorruptRecord": "_malformed"})
+
+
+def _is_entry(e: Column) -> Column:
+    return F.col("value").startswith("{") & e.isNotNull() & e["_malformed"].isNull()
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Lines (value, seq) to log entries `e`; malformed lines are left out.
+
+    The generator keeps Catalyst from copying the parse into every field and filter.
+    """
+    parsed = F.filter(F.array(_entry()), _is_entry)
+    return _content(lines).select("seq", F.explode(parsed).alias("e"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumn("seq", arrival_order())
 
@@ -47,11 +55,12 @@ def scan_logs(spark: SparkSession, kind: str, path: str) -> DataFrame:
 
 
 def normalize_lines(lines: DataFrame, kind: str, ingest_ts: Column | None = None) -> DataFrame:
-    return NORMALIZERS[kind](parse_lines(lines).filter("e IS NOT NULL"), ingest_ts)
+    return NORMALIZERS[kind](parse_lines(lines), ingest_ts)
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
-    return parse_lines(lines).filter("e IS NULL").select("value")
+    """Lines that should have been entries, for a quarantine table."""
+    return _content(lines).filter(~_is_entry(_entry())).select("value")
 
 
 def correlated_records(conn: DataFrame, dns: DataFrame, ssl: DataFrame) -> DataFrame:

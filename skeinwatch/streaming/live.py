@@ -16,11 +16,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from skeinwatch.operators.alerts import assemble, correlate_onto, with_latency
-from skeinwatch.operators.detectors import detect
 from skeinwatch.operators.suppression import deliverable, mark_suppressed
 from skeinwatch.operators.thresholds import Thresholds
 from skeinwatch.operators.windows import SECOND
-from skeinwatch.plans.pipeline import candidate_records, with_mask
+from skeinwatch.plans.pipeline import candidate_records
 
 HOUR_US = 3600 * SECOND
 LONGEST_WINDOW = 300
@@ -88,8 +87,7 @@ class AlertStream:
         th = self.thresholds()
         window = self._history(spark, batch_id, span)
         own = F.col("batch_id") == batch_id
-        hits = candidate_records(window, th, self.tie, self.detectors, emit=own)
-        found = with_mask(detect(hits, th, self.detectors))
+        found = candidate_records(window, th, self.tie, self.detectors, emit=own)
         state = self._previous(spark, "incidents", batch_id)
         correlated, carried = correlate_onto(
             found, state, th.value("correlation.window_seconds"), now_max - self.delay_seconds * SECOND

@@ -187,3 +187,21 @@ def test_archive_prunes_months_and_merges_columns(spark, alerts, tmp_path):
     assert recent.count() == 8
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan and "PushedFilters: [" in plan
+
+
+def test_baseline_in_stretches_equals_plain_fold(spark):
+    import random
+
+    from skeinwatch.operators.baseline import adaptive_baseline
+
+    rnd = random.Random(5)
+    rows = [(i, i * 500_000, "hot" if i % 3 else "b", float(rnd.choice([20, 60, 110, 400]))) for i in range(900)]
+    df = spark.createDataFrame(rows, "seq bigint, ts_us bigint, k string, pps double")
+    got = {r["key"]: r for r in adaptive_baseline(df, F.col("k"), F.col("pps"), stretch_seconds=150).collect()}
+    for key in ("hot", "b"):
+        m, s = 50.0, 30.0
+        for r in rows:
+            if r[2] == key and r[3] < m * 2.5:
+                d = r[3] - m
+                m, s = m + 0.02 * d, max(1.0, (s * s * 0.98 + 0.02 * d * d) ** 0.5)
+        assert got[key]["ema_mean"] == pytest.approx(m, abs=1e-9) and got[key]["ema_std"] == pytest.approx(s, abs=1e-9)
