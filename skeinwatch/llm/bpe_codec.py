@@ -12,6 +12,7 @@ import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,10 +131,12 @@ def decode(ids: Column, ranks: str, pattern: str) -> Column:
     return text(ids)
 
 
-def round_trip(text: Column, ranks: str, pattern: str) -> Column:
-    """Encodes, then decodes the ids: struct of n_tokens, SHA-256 of the ids (decimal, one space between) and of the text decoded."""
+def round_trip(text: Column, ranks: str, pattern: str, with_ids: bool = False) -> Column:
+    """Encodes, then decodes the ids: struct of n_tokens, SHA-256 of the ids (decimal, one space between) and of the text decoded, and the ids if asked for."""
+    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    names = [c.split()[0] for c in kind.split(", ")]
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf(kind)
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(ranks, pattern)
         for texts in batches:
@@ -144,18 +147,18 @@ def round_trip(text: Column, ranks: str, pattern: str) -> Column:
                 back = hashlib.sha256()
                 for part in codec.decode(ids):
                     back.update(part.encode("utf-8"))
-                rows.append((len(ids), hashlib.sha256(written.encode()).hexdigest(), back.hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                rows.append((len(ids), hashlib.sha256(written.encode()).hexdigest(), back.hexdigest(), np.array(ids, np.int32))[: len(names)])
+            yield pd.DataFrame(rows, columns=names)
 
     return digests(text)
 
 
-def encoded(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
-    """`docs` with n_tokens, ids_sha256 and decoded_sha256 of the round trip.
+def encoded(docs: DataFrame, ranks: str, pattern: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """`docs` with n_tokens, ids_sha256 and decoded_sha256 of the round trip, and the ids if asked for.
 
     Null and empty texts: no tokens, and the digests of no bytes. Repeated rows repeat their result.
     Columns of these names are replaced; all others stay.
     """
-    found = docs.withColumn("_trip", round_trip(F.coalesce(F.col(text), F.lit("")), ranks, pattern))
-    names = ("n_tokens", "ids_sha256", "decoded_sha256")
+    found = docs.withColumn("_trip", round_trip(F.coalesce(F.col(text), F.lit("")), ranks, pattern, with_ids))
+    names = found.schema["_trip"].dataType.names
     return found.withColumns({n: F.col(f"_trip.{n}") for n in names}).drop("_trip")

@@ -251,6 +251,6 @@ def _search(shared):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """`docs` without those that share a passage with the benchmark."""
-    bad = contaminated(docs, benchmark, text, doc_id, item_id).select(F.col(doc_id).alias("_leak")).distinct()
+    """`docs` without those that share a passage with the benchmark. The ids to drop are written first, so Spark knows their size when it picks the join."""
+    bad = materialize(contaminated(docs, benchmark, text, doc_id, item_id).select(F.col(doc_id).alias("_leak")).distinct(), "leaks")
     return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_leak")), "left_anti")

@@ -99,9 +99,9 @@ class Limits:
     """A text of fewer words than `min_words` is not compared; a distance beyond a limit plus `slack` times what chance makes rejects."""
 
     min_words: int = 50
-    classes: float = 0.13
-    words: float = 0.35
-    slack: float = 1.5
+    classes: float = 0.12
+    words: float = 0.33
+    slack: float = 2.0
 
 
 @dataclass

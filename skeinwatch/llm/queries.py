@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, licenses, quality, secret_scan, simhash, token_counts, url_rules, warc
+from . import bpe_codec, decontaminate, licenses, maxent_lm, quality, secret_scan, simhash, token_counts, url_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,6 +75,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs).drop("text", "lang")
 
 
+@query()
+def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

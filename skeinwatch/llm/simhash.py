@@ -89,7 +89,9 @@ def _carry(at: Column, one: Column, up: bool) -> Column:
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """Pairs a < b of the column `fp` (distinct) that differ in at most two bits, each once."""
-    cells = distinct.select("fp", F.explode(marked_cells(segment_counts(F.col("fp")))).alias("m")).select("fp", "m.cell", "m.step")
+    slots = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = distinct.repartition(slots, "fp")  # a fixed number: small rows become about fifty each
+    cells = spread.select("fp", F.explode(marked_cells(segment_counts(F.col("fp")))).alias("m")).select("fp", "m.cell", "m.step")
     x, y = cells.alias("x"), cells.alias("y")
     a, b, i, j = F.col("x.fp"), F.col("y.fp"), F.col("x.step"), F.col("y.step")
     own = ((i == 0) & (j == 0)) | ((i == 0) & (j != 0)) | ((i != 0) & (j != 0) & (i != j) & (F.abs(i) <= F.abs(j)))

@@ -178,10 +178,11 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
 
 
 def read_archives(files: DataFrame, split_bytes: int = 32 << 20) -> DataFrame:
-    """One row per record of `files` (path, size), read in ranges of `split_bytes`, each a row dealt out to its own task slot."""
+    """One row per record of `files` (path, size), read in ranges of `split_bytes`, each in a task of its own (up to 100,000 tasks)."""
     starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))
     ranges = files.filter("size > 0").select("path", "size", F.explode(starts).alias("start"))
-    dealt = ranges.repartition(F.xxhash64("path", "start"))
+    n = files.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 1
+    dealt = ranges.repartition(max(1, min(int(n), 100_000)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("offset", pa.int64())])
