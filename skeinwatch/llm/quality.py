@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.work import materialize
+
 _WHITE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 _COMMON = 1000
@@ -164,7 +166,7 @@ def language_counts(docs: DataFrame, text: str = "text", lang: str = "lang") ->
 
 def learn_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, Reference]:
     """Histograms of every language. What comes to the driver is bounded by languages x (classes + common words)."""
-    counts = language_counts(docs, text, lang)
+    counts = materialize(language_counts(docs, text, lang), "language-counts")
     totals = counts.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("total"))
     common = counts.join(totals, "lang", "left").filter(f"kind = 0 OR (n * {_COMMON} >= total AND length(item) <= 64)")
     out: dict[str, Reference] = {}
