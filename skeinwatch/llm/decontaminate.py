@@ -3,8 +3,9 @@
 A mask keeps some places of a window of words and ignores the others, so a window still hashes alike
 if the words that differ fall on ignored places. The two masks are lossless: of 13 aligned words any
 two may differ and some window still hits. Test and training hashes are joined, and around every hit
-the texts are compared along its diagonal: reported is the longest run of aligned words with at most
-one in five different, if it has 13 words or is the item's whole length (short items, from 5 words on).
+the texts are compared along its diagonal. A passage is shared if 13 aligned words have at most two that
+differ; of an item of 5 to 12 words all must be aligned and at most one in five differ. Reported is the
+longest run around it with at most one in five different.
 
 Benchmark items are the query set. They are cut into pieces of bounded size and dealt into blocks of
 bounded size; a block's hashes go to all tasks and are joined where the documents lie, so documents
@@ -103,6 +104,14 @@ class WordHashes:
         return np.array(found, np.uint64)
 
 
+def shared(equal: np.ndarray, n: int) -> bool:
+    """Whether some n aligned words have at most one in five that differs."""
+    if len(equal) < n:
+        return False
+    sums = np.concatenate([[0], np.cumsum(equal)])
+    return int((sums[n:] - sums[:-n]).max()) >= n - n // _TOLERANCE
+
+
 def longest_run(equal: np.ndarray) -> tuple[int, int]:
     """Start and end of the longest stretch that begins and ends with an equal word and of which at most one in five differ."""
     gain = np.where(equal, 1, 1 - _TOLERANCE)
@@ -170,11 +179,9 @@ class Block:
                 low = max(int(self.begins[p]), int(begins[t]) - shift)
                 high = min(int(self.ends[p]), int(ends[t]) - shift)
                 equal = words[low + shift : high + shift] == self.words[low:high]
-                a, b = longest_run(equal)
-                if b - a >= min(_MIN_RUN, self.lengths[p] - self.lengths[p] // _TOLERANCE) and b - a > 0:
+                if shared(equal, min(_MIN_RUN, self.lengths[p])):
+                    a, b = longest_run(equal)
                     same = int(np.count_nonzero(equal[a:b]))
-                    if self.lengths[p] < _MIN_RUN and same * _TOLERANCE < (_TOLERANCE - 1) * self.lengths[p]:
-                        continue
                     found = (same, b - a, -(low + shift + a - int(begins[t])))
                     best[t, p] = max(best.get((t, p), found), found)
         for (t, p), (same, size, minus) in best.items():

@@ -63,7 +63,7 @@ def _found(text: Column, number: int) -> Column:
 
 
 def secret_rows(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), reach: int = 200) -> DataFrame:
-    """One row per part reported, and one with null `kind` for a text without any.
+    """One row per match of any kind, with null `kind` if it is not reported, and one such row for a text without a match.
 
     Columns: `keep`, `_row` (numbers the input rows), kind, start, end (code points, end exclusive),
     weak. Null and empty texts have no part.
@@ -73,12 +73,14 @@ def secret_rows(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     numbered = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), F.concat(*kinds).alias("parts"))
     rows = numbered.select(*keep, "_row", F.explode_outer("parts").alias("m")).select(*keep, "_row", "m.*")
     before = Window.partitionBy("_row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    least = F.element_at(F.array(*[F.lit(k[3]) for k in KINDS]), F.col("kind") + 1)
-    role = F.element_at(F.array(*[F.lit(k[5]) for k in KINDS]), F.col("kind") + 1)
+    limits, roles = ({k[0]: k[i] for k in KINDS} for i in (3, 5))
+    least = F.element_at(F.array(*[F.lit(v) for v in limits.values()]), F.col("kind") + 1)
+    role = F.element_at(F.array(*[F.lit(v) for v in roles.values()]), F.col("kind") + 1)
+    holds = (F.col("value_size") >= least) & ((F.col("kind") != ORDER["opaque"]) | F.col("mixed"))
     placed = (
         rows.withColumn("end", F.sum(F.col("gap").cast("long") + F.col("size")).over(before))
         .withColumn("start", F.col("end") - F.col("size"))
-        .filter(F.col("kind").isNull() | ((F.col("value_size") >= least) & ((F.col("kind") != ORDER["opaque"]) | F.col("mixed"))))
+        .withColumn("kind", F.when(holds, F.col("kind")))  # what fails has no kind, but keeps its text's row
         .withColumn("role", role)
     )
     scope = Window.partitionBy("_row").orderBy("start").rangeBetween(-reach, reach)
@@ -89,7 +91,6 @@ def secret_rows(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     weak = F.col("kind") >= ORDER["login"]
     linked = F.when(F.col("role") == "secret", near("identifier", "endpoint")).otherwise(near("secret"))
     judged = placed.withColumn("weak", weak).withColumn("reported", ~weak | linked)
-    # a text whose every part goes still has its row
     return judged.select(
         *keep, "_row",
         *[F.when(F.col("reported"), F.col(c)).alias(c) for c in ("kind", "start", "end", "weak")],
