@@ -31,7 +31,7 @@ _LETTER, _ONE, _R, _V, _L, _E, _NUMBER, _OTHER, _QUOTE, _SPACE, _WHITE, _END = r
     _START, _LETTERS, _NUMBERS, _OTHERS, _SP, _WS, _RUN_SP, _RUN_WS,
     _Q, _QR, _QV, _QL, _DONE,
 ) = range(13)
-_CHUNK, _PROBE, _BLOCK, _MEMO = 256, 16, 1_000_000, 200_000
+_CHUNK, _PROBE, _BLOCK, _MEMO = 256, 16, 1_000_000, 100_000
 
 
 @functools.cache
@@ -136,7 +136,7 @@ class TokenCounter:
 
     def __init__(self, path: str):
         table, self.special = MergeTable.from_json(path)
-        self.machine = MergeMachine(table, Counts, 200_000)
+        self.machine = MergeMachine(table, Counts, 120_000)
         self.memo: dict[bytes, int] = {}
         self.classes = character_classes()
 
