@@ -111,6 +111,12 @@ def safe_int(value: Column, default: int = 0) -> Column:
     return F.coalesce(value.try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
+def safe_port(value: Column, default: int = 0) -> Column:
+    """A port from text; the default where there is none or it lies outside 0 to 65535."""
+    n = safe_int(value, default)
+    return F.when(n.between(0, 65535), n).otherwise(default).cast("int")
+
+
 def endpoint(ip: Column, port: Column) -> Column:
     return F.concat(ip, F.lit(":"), port.cast("string"))
 
@@ -134,9 +140,11 @@ def history_to_flags(history: Column) -> Column:
 
 
 def parse_event_time(value: Column, ingest_ts: Column) -> Column:
-    """Epoch seconds (number or text) or ISO-8601 to timestamp, else the ingest time."""
+    """Epoch seconds (number or text, to the year 9999) or ISO-8601 to timestamp, else the ingest time."""
+    seconds = value.try_cast("double")
+    usable = seconds.between(-62135596800.0, 253402300799.0)  # neither NaN nor infinite
     return F.coalesce(
-        F.timestamp_micros(F.round(value.try_cast("double") * 1000000).cast("bigint")),
+        F.when(usable, F.timestamp_micros(F.round(seconds * 1000000).cast("bigint"))),
         value.try_cast("timestamp"),
         ingest_ts,
     )

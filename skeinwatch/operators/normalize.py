@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skeinwatch import schemas as S
-from skeinwatch.functions.scalars import flow_key, history_to_flags, parse_event_time, safe_int
+from skeinwatch.functions.scalars import flow_key, history_to_flags, parse_event_time, safe_int, safe_port
 
 TOPICS = {"conn": "traffic-flows", "dns": "dns-queries", "ssl": "ssl-metadata"}
 
@@ -26,9 +26,9 @@ def _flow_row(kind: str, fields: dict[str, Column]) -> list[Column]:
 def _ends(default_port: int) -> dict[str, Column]:
     return {
         "src_ip": F.coalesce(_given("id.orig_h", "src_ip"), F.lit("0.0.0.0")),
-        "src_port": safe_int(_given("id.orig_p", "src_port")).cast("int"),
+        "src_port": safe_port(_given("id.orig_p", "src_port")),
         "dst_ip": F.coalesce(_given("id.resp_h", "dst_ip"), F.lit("0.0.0.0")),
-        "dst_port": safe_int(_given("id.resp_p", "dst_port"), default_port).cast("int"),
+        "dst_port": safe_port(_given("id.resp_p", "dst_port"), default_port),
     }
 
 

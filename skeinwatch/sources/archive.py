@@ -40,9 +40,11 @@ def read_archive(
 NOTE = "flow_id string, text string, created_at timestamp"
 
 
-def write_notes(notes: DataFrame, path: str) -> None:
-    """Append notes of 1 to 10,000 characters; others are refused."""
-    notes.filter(F.length("text").between(1, 10000)).write.mode("append").parquet(path)
+def write_notes(notes: DataFrame, path: str) -> DataFrame:
+    """Append notes of 1 to 10,000 characters; the others come back as refused."""
+    fits = F.coalesce(F.length("text").between(1, 10000), F.lit(False))
+    notes.filter(fits).write.mode("append").parquet(path)
+    return notes.filter(~fits)
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:

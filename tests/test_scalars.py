@@ -45,11 +45,17 @@ def test_history_and_safe_int(spark):
         assert one(spark, n=fn.safe_int(F.lit(text).cast("string"), default))["n"] == want
 
 
+def test_ports(spark):
+    for text, want in [("443", 443), ("65535", 65535), ("65536", 53), ("-1", 53), ("99999999999", 53), ("x", 53), (None, 53)]:
+        assert one(spark, n=fn.safe_port(F.lit(text).cast("string"), 53))["n"] == want
+
+
 def test_event_time(spark):
     ingest = F.timestamp_micros(F.lit(7))
     for text, want in [
         ("1694567890.123", 1694567890123000), ("1.694567890123E9", 1694567890123000),
         ("2026-09-12T18:30:00Z", 1789237800000000), ("junk", 7), (None, 7),
+        ("Infinity", 7), ("-Infinity", 7), ("NaN", 7), ("1e30", 7), ("253402300800", 7),
     ]:
         got = one(spark, t=F.unix_micros(fn.parse_event_time(F.lit(text).cast("string"), ingest)))
         assert got["t"] == want
