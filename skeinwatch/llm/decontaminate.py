@@ -29,7 +29,7 @@ _MIN_RUN, _TOLERANCE, _MIN_ITEM = 13, 5, 5
 #: Lossless for two substitutions in 13 words, which the tests prove by trying all.
 LONG_MASKS = ("11101011", "11001001101")
 _PIECE, _BLOCK_WORDS = 4096, 1 << 18
-_MEMO = 400_000
+_MEMO = 150_000
 _PAIRS_AT_ONCE = 1 << 20
 _TO_SPACE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 

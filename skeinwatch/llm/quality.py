@@ -28,7 +28,7 @@ _WHITE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 _COMMON = 1000
 _WINDOW = 5
-_FLUSH = 500_000
+_FLUSH = 100_000
 
 
 def _class_table() -> np.ndarray:
