@@ -76,19 +76,24 @@ class Codec:
         self.machine = MergeMachine(self.table, Ids, 120_000)
         self.split = regex.compile(pattern).findall
         self.memo: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def _piece(self, piece: str) -> str:
-        found = " ".join(map(str, self.machine.ids(piece.encode("utf-8"))))
+        """A piece not among the latest; `older` holds those before them, so that frequent ones survive."""
+        found = self.memo.get(piece) or self.older.get(piece)
+        if found is None:
+            found = " ".join(map(str, self.machine.ids(piece.encode("utf-8"))))
         if len(piece) <= 32:
             if len(self.memo) >= _MEMO:
-                self.memo.clear()
+                self.memo, self.older = {}, self.memo
             self.memo[piece] = found
         return found
 
     def encode_text(self, text: str) -> str:
         """Decimal ids joined by a space."""
         pieces = self.split(text)
-        found = [self.memo.get(p) for p in pieces]
+        of = self.memo.get
+        found = [of(p) for p in pieces]
         return " ".join([s if s is not None else self._piece(p) for s, p in zip(found, pieces)])
 
     def encode(self, text: str) -> list[int]:

@@ -34,6 +34,7 @@ class MergeTable:
         self.tokens, self.rank_of_pair = tokens, rank_of_pair
         self.of_bytes = {t: i for i, t in tokens.items()}
         self._apart: dict[int, bool] = {}
+        self._made: dict[int, tuple[int, int, int, bool] | None] = {}
 
     @classmethod
     def from_ranks(cls, path: str) -> MergeTable:
@@ -67,11 +68,11 @@ class MergeTable:
             pairs.setdefault(ids, (rank, model["vocab"][left + right]))
         return cls(tokens, lambda a, b: pairs.get((a, b))), sorted(added)
 
-    def merge(self, data: bytes) -> list[int]:
-        """Lowest rank first, leftmost first; for two tokens' worth of bytes only."""
+    def merge(self, data: bytes, stop_at: int = 1) -> list[int]:
+        """Lowest rank first, leftmost first, down to `stop_at` tokens; for two tokens' worth of bytes only."""
         ids = [self.of_bytes[data[i : i + 1]] for i in range(len(data))]
         ranks = [self.rank_of_pair(a, b) for a, b in zip(ids, ids[1:])]
-        while True:
+        while len(ids) > stop_at:
             best, at = None, -1
             for i, r in enumerate(ranks):
                 if r is not None and (best is None or r[0] < best[0]):
@@ -84,20 +85,64 @@ class MergeTable:
                 ranks[at - 1] = self.rank_of_pair(ids[at - 1], ids[at])
             if at < len(ranks):
                 ranks[at] = self.rank_of_pair(ids[at], ids[at + 1])
+        return ids
+
+    def made_of(self, token: int) -> tuple[int, int, int, bool] | None:
+        """How the merges make a token of its bytes: rank of the last merge, its two parts, and whether
+        every merge below it has a lower rank than the one above. None if they do not make it."""
+        known = self._made.get(token, ())
+        if known == ():
+            known = self._made[token] = self._last_merge(token)
+        return known
+
+    def _last_merge(self, token: int) -> tuple[int, int, int, bool] | None:
+        data = self.tokens[token]
+        if len(data) == 1:
+            return -1, token, token, True
+        ids = self.merge(data, stop_at=2)
+        last = self.rank_of_pair(*ids) if len(ids) == 2 else None
+        if last is None or last[1] != token:
+            return None
+        parts = [self.made_of(i) for i in ids]
+        rising = all(m is not None and m[3] and m[0] < last[0] for m in parts)
+        return last[0], ids[0], ids[1], rising
 
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether a followed by b is what the merges make of their bytes."""
         key = a << 20 | b
         known = self._apart.get(key)
         if known is None:
-            if len(self._apart) > 2_000_000:
+            if len(self._apart) > 500_000:
                 self._apart.clear()
-            known = self._apart[key] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
+            left, right = self.made_of(a), self.made_of(b)
+            if left is None or right is None:
+                known = False
+            elif left[3] and right[3]:
+                known = self._never_joined(a, b)
+            else:
+                known = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
+            self._apart[key] = known
         return known
 
+    def _never_joined(self, a: int, b: int) -> bool:
+        """Undoes the merges next to the border, latest first; no two neighbours that met there may merge before
+        the merge that took one of them away. Of equal ranks the leftmost goes first. Ranks must rise in both tokens."""
+        until = None
+        while True:
+            pair = self.rank_of_pair(a, b)
+            if pair is not None and (until is None or (pair[0], 1) < until):
+                return False
+            left, right = self.made_of(a), self.made_of(b)
+            if left[0] < 0 and right[0] < 0:
+                return True
+            if left[0] > right[0]:
+                until, a = (left[0], 0), left[2]
+            else:
+                until, b = (right[0], 2), right[1]
+
     def whole(self, a: int) -> bool:
         """Whether the merges make this token of its own bytes."""
-        return self.merge(self.tokens[a]) == [a]
+        return self.made_of(a) is not None
 
 
 class Counts:
