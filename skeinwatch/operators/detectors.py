@@ -199,49 +199,26 @@ def signature_tables(custom_ja3: dict[str, str] | None = None) -> tuple[dict, di
     return {**S.JA3_SIGNATURES, **(custom_ja3 or {})}, dict(S.JA4_SIGNATURES)
 
 
-MAX_INLINE_SIGNATURES = 1000
-
-
 def signature_match(rows: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
     """Adds `family`: JA3 first, then JA4, null when neither is known.
 
-    signatures (kind, hash, family) extends the built-in table. A short table becomes a map
-    literal inside the projection; a long one is joined on the hash.
+    signatures (kind, hash, family) goes before the built-in table and is joined on the hash, whatever its
+    size; kinds other than ja3 and ja4 match nothing. Of a repeated hash the row with the greatest `seq`
+    holds (where the table has that column), then the greatest family.
     """
-    ja3, ja4 = signature_tables()
-    if signatures is not None:
-        rows_of = signatures.limit(MAX_INLINE_SIGNATURES + 1).collect()
-        if len(rows_of) > MAX_INLINE_SIGNATURES:
-            return _signature_join(rows, signatures, ja3, ja4)
-        for r in rows_of:
-            (ja3 if r["kind"] == "ja3" else ja4)[r["hash"]] = r["family"]
-
-    def lookup(table, name):
-        literal = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-        key = F.lower(col(name))
-        return F.when(key.isNotNull(), F.try_element_at(literal, key))
-
-    return rows.withColumn("family", F.coalesce(lookup(ja3, "ja3_hash"), lookup(ja4, "ja4_hash")))
-
-
-def _signature_join(rows, signatures, ja3, ja4):
-    spark = rows.sparkSession
-    known = spark.createDataFrame(
-        [("ja3", h, f) for h, f in ja3.items()] + [("ja4", h, f) for h, f in ja4.items()],
-        "kind string, hash string, family string",
-    )
-    extra = signatures.select("kind", "hash", "family")
-    table = extra.unionByName(known.join(extra, ["kind", "hash"], "left_anti")).groupBy("kind", "hash").agg(
-        F.max("family").alias("family")
-    )
-    for kind in ("ja3", "ja4"):
-        side = table.filter(col("kind") == kind).select(
-            col("hash").alias(f"_{kind}"), col("family").alias(f"_{kind}_family")
-        )
-        rows = rows.join(side, F.lower(rows[f"{kind}_hash"]) == side[f"_{kind}"], "left")
-    return rows.withColumn("family", F.coalesce("_ja3_family", "_ja4_family")).drop(
-        "_ja3", "_ja4", "_ja3_family", "_ja4_family"
-    )
+    families = []
+    for kind, table in zip(("ja3", "ja4"), signature_tables()):
+        key = F.lower(col(f"{kind}_hash"))
+        if signatures is not None:
+            seq = col("seq") if "seq" in signatures.columns else F.lit(0)
+            own = signatures.filter(col("kind") == kind).groupBy(col("hash").alias(f"_{kind}")).agg(
+                F.max_by("family", F.struct(seq.alias("seq"), "family")).alias(f"_{kind}_family")
+            )
+            rows = rows.join(own, key == col(f"_{kind}"), "left")
+            families.append(col(f"_{kind}_family"))
+        known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+        families.append(F.when(key.isNotNull(), F.try_element_at(known, key)))
+    return rows.withColumn("family", F.coalesce(*families)).drop("_ja3", "_ja4", "_ja3_family", "_ja4_family")
 
 
 def malware(th) -> Finding:

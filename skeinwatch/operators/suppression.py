@@ -3,10 +3,9 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skeinwatch import schemas as S
-from skeinwatch.functions.net import cidr_range, in_range, ip_hex
+from skeinwatch.functions.net import cidr_range, ip_hex
 
 RULE_TYPES = ["source_ip", "destination_ip", "source_ip_threat_class"]
-INLINE_RULES = 1000
 
 
 def validate_rules(rules: DataFrame) -> DataFrame:
@@ -54,44 +53,18 @@ def _prepared(rules: DataFrame) -> DataFrame:
     ).drop("r")
 
 
-def mark_suppressed(
-    alerts: DataFrame, rules: DataFrame | None, as_of: Column, inline_rules: int = INLINE_RULES
-) -> DataFrame:
-    """Sets suppressed and suppression_rule_id from the first matching active rule.
+def mark_suppressed(alerts: DataFrame, rules: DataFrame | None, as_of: Column) -> DataFrame:
+    """Sets suppressed and suppression_rule_id from the first matching active rule (of equal rule_seq, the least id).
 
-    Up to `inline_rules` rules travel as one array next to every alert and no alert is
-    shuffled. A larger rule table is matched by equi-joins on (prefix length, network).
+    Rules are found by equi-joins on (prefix length, network). The outcome depends on the addresses and the
+    class only, so each combination is looked up once and every alert that has it is marked, with or without an id.
     """
     if rules is None:
         return alerts
-    prepared = _prepared(active_rules(rules, as_of))
-    if prepared.limit(inline_rules + 1).count() <= inline_rules:
-        rule = _first_inline(alerts, prepared)
-    else:
-        rule = _first_by_prefix(alerts, prepared)
+    rule = _first_by_prefix(alerts, _prepared(active_rules(rules, as_of)))
     return rule.withColumn("suppressed", F.col("suppression_rule_id").isNotNull())
 
 
-def _first_inline(alerts, prepared):
-    fields = ["rule_seq", "rule_id", "by_source", "criterion", "only_class", "lo", "hi"]
-    table = prepared.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_rules"))
-    src, dst = F.col("source_ip"), F.col("destination_ip")
-    with_hex = alerts.withColumn("_sx", ip_hex(src)).withColumn("_dx", ip_hex(dst))
-
-    def matches(r):
-        ip = F.when(r["by_source"], src).otherwise(dst)
-        hx = F.when(r["by_source"], F.col("_sx")).otherwise(F.col("_dx"))
-        right_class = r["only_class"].isNull() | (r["only_class"] == F.col("threat_class"))
-        return right_class & (ip != "") & in_range(ip, hx, r["criterion"], r["lo"], r["hi"])
-
-    hit = F.try_element_at(F.filter("_rules", matches), F.lit(1))
-    return (
-        with_hex.crossJoin(F.broadcast(table))
-        .withColumn("suppression_rule_id", hit["rule_id"])
-        .drop("_rules", "_sx", "_dx")
-    )
-
-
 def _network(addr_hex: Column, prefix_len: Column) -> Column:
     """First `prefix_len` bits of a hexadecimal address, as bit text."""
     bits = F.concat_ws("", *[
@@ -116,11 +89,12 @@ def _first_by_prefix(alerts, prepared):
     lengths = nets.groupBy().agg(
         F.collect_set(F.struct("by_source", "family", "plen")).alias("_lengths")
     )
-    addressed = alerts.select("alert_id", "source_ip", "destination_ip", "threat_class").withColumn(
-        "_sx", ip_hex(F.col("source_ip"))
-    ).withColumn("_dx", ip_hex(F.col("destination_ip")))
+    who = ["source_ip", "destination_ip", "threat_class"]
+    addressed = alerts.select(*who).distinct().withColumn("_sx", ip_hex(F.col("source_ip"))).withColumn(
+        "_dx", ip_hex(F.col("destination_ip"))
+    )
     probe = addressed.crossJoin(F.broadcast(lengths)).select(
-        "alert_id", "threat_class", "source_ip", "destination_ip", "_sx", "_dx",
+        *who, "_sx", "_dx",
         F.explode("_lengths").alias("_l"),
     )
     by_source = F.col("_l.by_source")
@@ -131,26 +105,27 @@ def _first_by_prefix(alerts, prepared):
         F.length(hx) == F.col("_l.family"), _network(hx, F.col("_l.plen"))
     )
     probe = probe.select(
-        "alert_id", "threat_class", by_source.alias("by_source"), hx.isNull().alias("as_text"), net.alias("net"),
+        *who, by_source.alias("by_source"), hx.isNull().alias("as_text"), net.alias("net"),
         F.col("_l.family").alias("family"), F.col("_l.plen").alias("plen"),
     ).filter("net IS NOT NULL AND net <> '' OR plen = 0")
     keys = ["by_source", "family", "plen", "net"]
     by_net = probe.filter(~F.col("as_text")).join(nets, keys)
     text_rules = nets.select("by_source", F.col("criterion").alias("net"), "only_class", "rule_seq", "rule_id")
-    by_text = probe.filter("as_text").select("alert_id", "threat_class", "by_source", "net").distinct().join(
+    by_text = probe.filter("as_text").select(*who, "by_source", "net").distinct().join(
         text_rules, ["by_source", "net"]
     )
-    cols = ["alert_id", "threat_class", "only_class", "rule_seq", "rule_id"]
+    cols = [*who, "only_class", "rule_seq", "rule_id"]
     first = (
         by_net.select(*cols).unionByName(by_text.select(*cols))
         .filter("only_class IS NULL OR only_class = threat_class")
-        .groupBy("alert_id")
-        .agg(F.min_by("rule_id", "rule_seq").alias("_rule"))
+        .groupBy(*[F.col(c).alias(f"_{c}") for c in who])
+        .agg(F.min(F.struct("rule_seq", "rule_id"))["rule_id"].alias("_rule"))
     )
+    same = [alerts[c].eqNullSafe(first[f"_{c}"]) for c in who]
     return (
-        alerts.join(first, "alert_id", "left")
+        alerts.join(first, same, "left")
         .withColumn("suppression_rule_id", F.col("_rule"))
-        .drop("_rule")
+        .drop("_rule", *[f"_{c}" for c in who])
     )
 
 

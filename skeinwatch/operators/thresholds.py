@@ -104,17 +104,33 @@ def _canonical(kind: Column, value: Column) -> Column:
     )
 
 
+def _typed(kind: str, value: Column) -> Column:
+    if kind == "int_list":
+        return F.split(value, ",").try_cast("array<int>")
+    return value.try_cast(_SQL_TYPE[kind])
+
+
 def effective_thresholds(specs: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Overrides (key, value text) checked against their spec; bad or unknown ones are skipped."""
-    keyed = overrides.select(
+    """Overrides (key, value text) checked against their spec; bad or unknown ones are skipped.
+
+    Of several changes of one key the last valid one holds, by the column `seq` where overrides have it.
+    Without `seq`, or of equal `seq`, it is the greatest number (of lists, the greatest text).
+    """
+    seq = F.col("seq") if "seq" in overrides.columns else F.lit(0)
+    changes = overrides.select(
         F.substring_index("key", ".", 1).alias("rule"),
         F.expr("substring(key, instr(key, '.') + 1)").alias("parameter"),
         F.col("value").alias("override"),
+        seq.alias("_seq"),
+    ).join(F.broadcast(specs.select("rule", "parameter", "kind", "min", "max")), ["rule", "parameter"])
+    canonical = _canonical(F.col("kind"), F.col("override"))
+    last = (
+        changes.filter(_is_valid(F.col("kind"), F.col("override"), F.col("min"), F.col("max")))
+        .groupBy("rule", "parameter")
+        .agg(F.max_by(canonical, F.struct("_seq", F.trim("override").try_cast("double"), "override")).alias("_set"))
     )
-    joined = specs.join(F.broadcast(keyed), ["rule", "parameter"], "left")
-    ok = _is_valid(F.col("kind"), F.col("override"), F.col("min"), F.col("max"))
-    value = F.when(ok, _canonical(F.col("kind"), F.col("override"))).otherwise(F.col("default"))
-    return joined.select(
+    value = F.coalesce("_set", "default")
+    return specs.join(F.broadcast(last), ["rule", "parameter"], "left").select(
         "rule", "parameter", "kind", "min", "max", "default",
         value.alias("value"),
         (value != F.col("default")).alias("modified"),
@@ -148,56 +164,57 @@ def apply_thresholds(rows: DataFrame, one_row: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(one_row))
 
 
-MAX_VERSIONS = 10000
+_DAY_US = 86400 * 1000000
 
 
-def thresholds_asof(rows: DataFrame, changes: DataFrame, key: str, out: str) -> DataFrame:
-    """Value of one threshold in force at each record's time.
+def _versions(changes: DataFrame, key: str) -> DataFrame:
+    """Valid changes as (effective_us, until_us, value): typed, one an instant, each in force until the next.
 
-    `changes` (effective_us, value) is the change log of one parameter. The log of one
-    parameter is checked to be small, sorted into one array and looked up per record, so
-    the records are not shuffled.
+    The next version is looked up within a day, beyond it among one row a day.
     """
-    n = changes.limit(MAX_VERSIONS + 1).count()
-    if n > MAX_VERSIONS:
-        return _thresholds_asof_large(rows, changes, key, out)
-    kind = _SQL_TYPE[_KIND[key]]
-    log = changes.agg(
-        F.array_sort(F.collect_list(F.struct("effective_us", "value"))).alias("_log")
+    kind = _KIND[key]
+    lo, hi = next((lo, hi) for r, p, _, lo, hi, _ in SPECS if f"{r}.{p}" == key)
+    text = F.col("value").cast("string")
+    seq = F.col("seq") if "seq" in changes.columns else F.lit(0)
+    known = (
+        changes.filter(F.col("effective_us").isNotNull() & _is_valid(F.lit(kind), text, F.lit(lo), F.lit(hi)))
+        .select("effective_us", seq.alias("_seq"), _typed(kind, _canonical(F.lit(kind), text)).alias("value"))
+        .groupBy("effective_us")
+        .agg(F.max_by("value", F.struct("_seq", "value")).alias("value"))
+        .withColumn("_day", F.expr(f"effective_us div {_DAY_US}"))
     )
-    seen = F.filter("_log", lambda v: v["effective_us"] <= F.col("ts_us"))
-    value = F.when(F.size(seen) > 0, F.element_at(seen, -1)["value"])
-    return (
-        rows.crossJoin(F.broadcast(log))
-        .withColumn(out, F.coalesce(value.cast(kind), Thresholds()(key)))
-        .drop("_log")
+    days = known.groupBy("_day").agg(F.min("effective_us").alias("_first"))
+    days = days.select("_day", F.lead("_first").over(Window.orderBy("_day")).alias("_following"))
+    within = F.lead("effective_us").over(Window.partitionBy("_day").orderBy("effective_us"))
+    return known.withColumn("_next", within).join(days, "_day").select(
+        "effective_us", F.coalesce("_next", "_following").alias("until_us"), "value"
     )
 
 
-def _thresholds_asof_large(rows: DataFrame, changes: DataFrame, key: str, out: str) -> DataFrame:
-    """Long change logs: an equi-join on day, each version repeated for the days it covers."""
-    day_us = 86400 * 1000000
-    kind = _SQL_TYPE[_KIND[key]]
+def thresholds_asof(rows: DataFrame, changes: DataFrame, key: str, out: str) -> DataFrame:
+    """Value of one threshold in force at each record's time; the default before the first change.
+
+    `changes` (effective_us, value) is the change log of one parameter of any length. Values outside the
+    parameter's range are skipped. Of changes at one instant the one with the greatest `seq` holds (where
+    the log has that column), then the greatest value. A bucketed range join: equal days, then the time of
+    the version, each version repeated for the days it covers. A record without a time takes the default.
+    """
     span = rows.agg(F.max("ts_us").alias("_end"))
     versions = (
-        changes.withColumn(
-            "_until", F.lead("effective_us").over(Window.orderBy("effective_us"))
-        )
+        _versions(changes, key)
         .crossJoin(F.broadcast(span))
-        .withColumn("_last", F.coalesce(F.col("_until") - 1, F.col("_end")))
+        .withColumn("_last", F.coalesce(F.col("until_us") - 1, F.col("_end")))
         .filter("_last >= effective_us")
         .withColumn(
             "_day",
-            F.explode(F.sequence(F.expr(f"effective_us div {day_us}"), F.expr(f"_last div {day_us}"))),
+            F.explode(F.sequence(F.expr(f"effective_us div {_DAY_US}"), F.expr(f"_last div {_DAY_US}"))),
         )
-        .select("_day", "effective_us", "_last", "value")
-    )
-    rows = rows.withColumn("_day", F.expr(f"ts_us div {day_us}"))
-    hit = (versions["_day"] == rows["_day"]) & rows["ts_us"].between(
-        versions["effective_us"], versions["_last"]
+        .select("_day", F.col("effective_us").alias("_since"), "_last", F.col("value").alias("_in_force"))
     )
+    rows = rows.withColumn("_day", F.expr(f"ts_us div {_DAY_US}"))
+    hit = (versions["_day"] == rows["_day"]) & rows["ts_us"].between(versions["_since"], versions["_last"])
     return (
         rows.join(versions, hit, "left")
-        .withColumn(out, F.coalesce(F.col("value").cast(kind), Thresholds()(key)))
-        .drop("_day", "effective_us", "_last", "value")
+        .withColumn(out, F.coalesce("_in_force", Thresholds()(key)))
+        .drop("_day", "_since", "_last", "_in_force")
     )

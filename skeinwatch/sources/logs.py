@@ -11,7 +11,12 @@ def arrival_order() -> Column:
     return F.monotonically_increasing_id()
 
 
-_PARSED = T.StructType(S.LOG_ENTRY.fields + [T.StructField("_malformed", T.StringType())])
+#: Fields that are lists, but may be written as a single text: read as text, so that such a line stays an entry.
+_LISTS = [f.name for f in S.LOG_ENTRY.fields if isinstance(f.dataType, T.ArrayType)]
+_PARSED = T.StructType(
+    [T.StructField(f.name, T.StringType() if f.name in _LISTS else f.dataType) for f in S.LOG_ENTRY.fields]
+    + [T.StructField("_malformed", T.StringType())]
+)
 
 
 def _content(lines: DataFrame) -> DataFrame:
@@ -29,13 +34,21 @@ def _is_entry(e: Column) -> Column:
     return F.col("value").startswith("{") & e.isNotNull() & e["_malformed"].isNull()
 
 
+def _list_of(text: Column) -> Column:
+    """The list that a JSON text holds; any other text is its only item."""
+    items = F.when(text.startswith("["), F.from_json(text, "array<string>"))
+    return F.when(text.isNotNull(), F.coalesce(items, F.array(text)))
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Lines (value, seq) to log entries `e`; malformed lines are left out.
 
     The generator keeps Catalyst from copying the parse into every field and filter.
     """
     parsed = F.filter(F.array(_entry()), _is_entry)
-    return _content(lines).select("seq", F.explode(parsed).alias("e"))
+    entries = _content(lines).select("seq", F.explode(parsed).alias("e"))
+    fields = [_list_of(F.col(f"e.{n}")).alias(n) if n in _LISTS else F.col(f"e.`{n}`") for n in S.LOG_ENTRY.names]
+    return entries.select("seq", F.struct(*fields).alias("e"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -46,7 +59,7 @@ def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 100) -
     """New log files as they appear (a growing file is picked up when it is rotated in)."""
     return (
         spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-        .withColumn("seq", F.xxhash64("value"))
+        .withColumn("seq", F.shiftright(F.xxhash64("value"), 3))  # room for spreading three logs
     )
 
 
@@ -82,7 +95,8 @@ def _common() -> list[Column]:
 
 def log_lines(flows: DataFrame) -> dict[str, DataFrame]:
     """Flows as conn, dns and ssl log lines (value, seq)."""
-    history = F.array_join(F.transform("flags", lambda f: F.substring(f, 1, 1)), "")
+    letter = lambda f: F.when(f == "PSH", "D").otherwise(F.substring(f, 1, 1))  # noqa: E731 (as history_to_flags reads it)
+    history = F.array_join(F.transform("flags", letter), "")
     conn = F.struct(
         *_common(), F.lower("protocol").alias("proto"),
         F.col("bytes_out").alias("orig_bytes"), F.col("bytes_in").alias("resp_bytes"),

@@ -134,3 +134,16 @@ def test_topics_round_trip(spark, make_flows, tmp_path):
     back = topics.decode(spark.read.parquet(str(tmp_path / "t"))).orderBy("seq")
     assert [r["topic"] for r in back.collect()] == [TOPICS["conn"], TOPICS["dns"]]
     assert back.drop("topic").collect() == flows.orderBy("seq").collect()
+
+
+def test_list_fields_given_as_text(spark):
+    lines = [
+        '{"ts": 1, "uid": "a", "id.orig_h": "10.9.0.1", "query": "x.test", "answers": "192.0.2.1"}',
+        '{"ts": 2, "uid": "b", "id.orig_h": "10.9.0.1", "query": "x.test", "answers": ["192.0.2.1", "192.0.2.2"]}',
+        '{"ts": 3, "uid": "c", "id.orig_h": "10.9.0.1", "query": "x.test"}',
+        '{"ts": 4, "uid": "d", "id.orig_h": "10.9.0.1", "query": "x.test", "answers": "[cut"}',
+    ]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(lines)], "value string, seq bigint")
+    got = [r["answers"] for r in logs.normalize_lines(df, "dns").orderBy("seq").collect()]
+    assert got == [["192.0.2.1"], ["192.0.2.1", "192.0.2.2"], [], ["[cut"]]
+    assert logs.rejected_lines(df).count() == 0

@@ -37,8 +37,7 @@ def as_of():
     return F.timestamp_seconds(F.lit(START))
 
 
-@pytest.mark.parametrize("inline", [sup.INLINE_RULES, 0])
-def test_suppression(spark, alerts, inline):
+def test_suppression(spark, alerts):
     past, future = dt.datetime(2020, 1, 1, tzinfo=UTC), dt.datetime(2040, 1, 1, tzinfo=UTC)
     rules = spark.createDataFrame(
         [
@@ -49,7 +48,7 @@ def test_suppression(spark, alerts, inline):
         ],
         S.RULE,
     )
-    marked = sup.mark_suppressed(alerts, rules, as_of(), inline)
+    marked = sup.mark_suppressed(alerts, rules, as_of())
     got = {r["source_ip"]: (r["suppression_rule_id"], r["suppressed"]) for r in marked.collect()}
     want = {"192.168.1.55": "r1", "10.1.2.3": "r3", "2001:db8:1::5": "r5", "host-a": "r6", "10.99.0.1": "r9"}
     assert got == {ip: (want.get(ip), ip in want) for ip in got} and len(got) == 8
@@ -57,12 +56,16 @@ def test_suppression(spark, alerts, inline):
     assert marked.filter("suppressed AND evidence.details IS NULL").count() == 0
 
 
-@pytest.mark.parametrize("inline", [sup.INLINE_RULES, 0])
-def test_destination_and_catch_all_rules(spark, alerts, inline):
+def test_destination_and_catch_all_rules(spark, alerts):
     rules = spark.createDataFrame([rule(1, "destination_ip", dest="198.51.100.7"), rule(2, "source_ip", "0.0.0.0/0")], S.RULE)
-    got = {r["source_ip"]: r["suppression_rule_id"] for r in sup.mark_suppressed(alerts, rules, as_of(), inline).collect()}
+    got = {r["source_ip"]: r["suppression_rule_id"] for r in sup.mark_suppressed(alerts, rules, as_of()).collect()}
     assert got["203.0.113.88"] == "r1" and got["192.168.1.55"] == "r2" and got["2001:db8:1::5"] is None
     assert sup.mark_suppressed(alerts, None, as_of()) is alerts
+    unnamed = alerts.withColumn("alert_id", F.lit(None).cast("string"))
+    again = {r["source_ip"]: r["suppression_rule_id"] for r in sup.mark_suppressed(unnamed, rules, as_of()).collect()}
+    assert again == got
+    tied = spark.createDataFrame([("r9", *rule(1, "source_ip", "0.0.0.0/0")[1:]), rule(1, "source_ip", "203.0.113.0/24")], S.RULE)
+    assert sup.mark_suppressed(alerts, tied, as_of()).filter("source_ip = '203.0.113.88'").first()["suppression_rule_id"] == "r1"
 
 
 def test_rule_validation(spark):
@@ -87,13 +90,28 @@ def test_threshold_table(spark):
     assert row["th_ddos_sigma_threshold"] == 20.0 and row["th_malware_tls_ports"] == [443, 8443, 9001, 4443]
 
 
-def test_thresholds_asof_forms_agree(spark, make_flows):
+def test_last_valid_override_holds(spark):
+    rows = [("beaconing.min_heartbeats", "50", 1), ("beaconing.min_heartbeats", "9", 2), ("beaconing.min_heartbeats", "-1", 3)]
+    changes = spark.createDataFrame(rows, "key string, value string, seq int")
+    for overrides, want in ((changes, "9"), (changes.drop("seq"), "50")):
+        eff = thr.effective_thresholds(thr.spec_table(spark), overrides)
+        assert eff.count() == 22
+        assert [r["value"] for r in thr.modified_thresholds(eff).collect()] == [want]
+
+
+def test_thresholds_asof(spark, make_flows):
     flows = make_flows([dict(t=float(t)) for t in (10, 20, 30, 200000, 400000)])
-    changes = spark.createDataFrame([(20_000_000, "5"), (150_000_000_000, "7")], "effective_us bigint, value string")
-    small = thr.thresholds_asof(flows, changes, "ddos.sigma_threshold", "s")
-    large = thr._thresholds_asof_large(flows, changes, "ddos.sigma_threshold", "s")
-    for df in (small, large):
-        assert [r["s"] for r in df.orderBy("ts_us").collect()] == [3.0, 5.0, 5.0, 7.0, 7.0]
+
+    def seen(changes, key="ddos.sigma_threshold", schema="effective_us bigint, value string"):
+        df = thr.thresholds_asof(flows, spark.createDataFrame(changes, schema), key, "s")
+        return [r["s"] for r in df.orderBy("ts_us").collect()]
+
+    assert seen([(20_000_000, "5"), (150_000_000_000, "7")]) == [3.0, 5.0, 5.0, 7.0, 7.0]
+    assert seen([(20_000_000, "5"), (20_000_000, "20"), (25_000_000, "-7"), (150_000_000_000, "x")]) == [3.0, 20.0, 20.0, 20.0, 20.0]
+    tied = [(20_000_000, "20", 1), (20_000_000, "5", 2), (30_000_000, "6", 3)]
+    assert seen(tied, schema="effective_us bigint, value string, seq int") == [3.0, 5.0, 6.0, 6.0, 6.0]
+    assert seen([(30_000_000, "8443, 993")], "malware.tls_ports")[1:3] == [[443, 8443, 9001, 4443], [8443, 993]]
+    assert seen([]) == [3.0] * 5
 
 
 def test_status_and_notes(spark, alerts, tmp_path):

@@ -185,14 +185,11 @@ def test_fingerprints(make_flows, spark):
     assert found["10.1.0.1"]["confidence_score"] == 0.96 and found["10.1.0.1"]["severity"] == "critical"
     assert "TrickBot" in found["10.1.0.1"]["evidence"]["details"] and "Cobalt Strike" in found["10.1.0.2"]["evidence"]["details"]
     custom = spark.createDataFrame([("ja3", "feed", "House Worm")], "kind string, hash string, family string")
-    inline = det.signature_match(flows, custom).filter("src_ip = '10.1.0.3'").first()["family"]
-    limit, det.MAX_INLINE_SIGNATURES = det.MAX_INLINE_SIGNATURES, 0
-    try:
-        as_join = det.signature_match(flows, custom).orderBy("src_ip").select("family").collect()
-    finally:
-        det.MAX_INLINE_SIGNATURES = limit
-    assert inline == "House Worm"
-    assert [r[0] for r in as_join] == ["TrickBot Banking Trojan", "Cobalt Strike Malleable C2 (JA4)", "House Worm"]
+    more = [("ja3", "feed", "House Worm", 2), ("ja3", "feed", "Zebra Worm", 1), ("tls", "feed", "Nothing", 9)]
+    ordered = spark.createDataFrame(more, "kind string, hash string, family string, seq int")
+    for table in (custom, ordered):
+        got = det.signature_match(flows, table).orderBy("src_ip").select("family").collect()
+        assert [r[0] for r in got] == ["TrickBot Banking Trojan", "Cobalt Strike Malleable C2 (JA4)", "House Worm"]
 
 
 @scene
