@@ -15,6 +15,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from skeinwatch.llm import bpe_codec, components, decontaminate, maxent_lm, quality, simhash, token_counts
+from skeinwatch.llm.merge_machine import MergeTable
 
 JSON, RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 BITS = ["'s", "'t", "'re", "'r", "'v", "'ll", "'", " ", "  ", "\n", "\t", " ", "　", "a", "e", "ll", "s", "1", "٣", "!", "é", "ß", "中", "<|endoftext|>", ".", "\x1c", "\x85", "​", "\r\n", "𝒳", "😀", "\0"]
@@ -304,3 +305,27 @@ def test_model_probabilities_sum_to_one():
     classes = m.class_log_probabilities(m.features(one, two))
     p = np.exp(classes[np.arange(51), m.class_of[ids]] + m.word_log_probabilities(ids, m.pair_bucket(one)))
     assert abs(p.sum() - 1) < 1e-5  # the tail's share is dealt to its words and the unknown one
+
+
+def test_border_walk_equals_the_merges():
+    files = ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json")
+    real = MergeTable.from_ranks(public_tokenizers.path(files[0])), MergeTable.from_json(public_tokenizers.path(files[1]))[0]
+    # ranks that fall inside a token, tokens the merges never make, runs of one byte
+    names = [b"a", b"b", b"c", b"bc", b"abc", b"ab", b"aa", b"aaa", b"aaaa", b"cab", b"bca", b"cc"]
+    tables = list(real)
+    for seed in range(40):
+        order = names[:3] + random.Random(seed).sample(names[3:], len(names) - 3)
+        tokens = dict(enumerate(order))
+        of = {t: i for i, t in tokens.items()}
+
+        def pair(a, b, tokens=tokens, of=of):
+            i = of.get(tokens[a] + tokens[b])
+            return None if i is None else (i, i)
+
+        tables.append(MergeTable(tokens, pair))
+    for table in tables:
+        ids = sorted(table.tokens)
+        pick = random.Random(3)
+        pairs = [(a, b) for a in ids for b in ids] if len(ids) < 20 else [(pick.choice(ids), pick.choice(ids)) for _ in range(5000)]
+        for a, b in pairs:
+            assert table.stay_apart(a, b) == (table.merge(table.tokens[a] + table.tokens[b]) == [a, b]), (table.tokens[a], table.tokens[b])
