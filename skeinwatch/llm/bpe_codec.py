@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .merge_machine import Ids, MergeMachine, MergeTable
 
-_MEMO = 100_000
+_MEMO = 200_000
 
 
 def _utf8_machine() -> tuple[bytes, list[bytes]]:
@@ -73,7 +73,7 @@ class Codec:
         import regex
 
         self.table = MergeTable.from_ranks(ranks)
-        self.machine = MergeMachine(self.table, Ids, 120_000)
+        self.machine = MergeMachine(self.table, Ids, 300_000)
         self.split = regex.compile(pattern).findall
         self.memo: dict[str, str] = {}
         self.older: dict[str, str] = {}
