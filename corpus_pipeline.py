@@ -34,9 +34,12 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the texts, and the digests of ids and of the text decoded from them."""
+    """Token ids of the texts, and the digests of ids and of the text decoded from them.
+
+    The codec remembers less than by default: executors come to this stage with full heaps.
+    """
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe_codec.encoded(docs, ranks, public_tokenizers.PATTERN, with_ids=True).drop("text")
+    return bpe_codec.encoded(docs, ranks, public_tokenizers.PATTERN, with_ids=True, max_states=100_000, max_pieces=80_000).drop("text")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

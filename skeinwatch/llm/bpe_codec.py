@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .merge_machine import Ids, MergeMachine, MergeTable
 
-_MEMO = 200_000
+_STATES, _PIECES = 300_000, 200_000
+_PORTION = 2_000_000  # characters of texts whose results are held at once
 
 
 def _utf8_machine() -> tuple[bytes, list[bytes]]:
@@ -67,14 +68,18 @@ class Utf8Stream:
 
 
 class Codec:
-    """Encodes and decodes with the ranks of one `.tiktoken` file; special strings are ordinary text."""
+    """Encodes and decodes with the ranks of one `.tiktoken` file; special strings are ordinary text.
 
-    def __init__(self, ranks: str, pattern: str):
+    It remembers up to `max_states` states of the machine and twice `max_pieces` pieces; these bound memory, not results.
+    """
+
+    def __init__(self, ranks: str, pattern: str, max_states: int = _STATES, max_pieces: int = _PIECES):
         import regex
 
         self.table = MergeTable.from_ranks(ranks)
-        self.machine = MergeMachine(self.table, Ids, 300_000)
+        self.machine = MergeMachine(self.table, Ids, max_states)
         self.split = regex.compile(pattern).findall
+        self.max_pieces = max_pieces
         self.memo: dict[str, str] = {}
         self.older: dict[str, str] = {}
 
@@ -84,7 +89,7 @@ class Codec:
         if found is None:
             found = " ".join(map(str, self.machine.ids(piece.encode("utf-8"))))
         if len(piece) <= 32:
-            if len(self.memo) >= _MEMO:
+            if len(self.memo) >= self.max_pieces:
                 self.memo, self.older = {}, self.memo
             self.memo[piece] = found
         return found
@@ -108,8 +113,8 @@ class Codec:
 
 
 @functools.cache
-def _codec(ranks: str, pattern: str) -> Codec:
-    return Codec(ranks, pattern)
+def _codec(ranks: str, pattern: str, max_states: int = _STATES, max_pieces: int = _PIECES) -> Codec:
+    return Codec(ranks, pattern, max_states, max_pieces)
 
 
 def encode(text: Column, ranks: str, pattern: str) -> Column:
@@ -136,17 +141,31 @@ def decode(ids: Column, ranks: str, pattern: str) -> Column:
     return text(ids)
 
 
-def round_trip(text: Column, ranks: str, pattern: str, with_ids: bool = False) -> Column:
+def _portions(texts: pd.Series) -> Iterator[pd.Series]:
+    """The texts in order, in runs that end once they hold `_PORTION` characters."""
+    first = held = 0
+    for k, t in enumerate(texts):
+        held += len(t)
+        if held >= _PORTION:
+            yield texts.iloc[first : k + 1]
+            first, held = k + 1, 0
+    if first < len(texts):
+        yield texts.iloc[first:]
+
+
+def round_trip(
+    text: Column, ranks: str, pattern: str, with_ids: bool = False, max_states: int = _STATES, max_pieces: int = _PIECES
+) -> Column:
     """Encodes, then decodes the ids: struct of n_tokens, SHA-256 of the ids (decimal, one space between) and of the text decoded, and the ids if asked for."""
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     names = [c.split()[0] for c in kind.split(", ")]
 
     @F.pandas_udf(kind)
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = _codec(ranks, pattern)
-        for texts in batches:
+        codec = _codec(ranks, pattern, max_states, max_pieces)
+        for texts in (p for b in batches for p in _portions(b.fillna(""))):
             rows = []
-            for t in texts.fillna(""):
+            for t in texts:
                 written = codec.encode_text(t)
                 ids = [int(i) for i in written.split()]
                 back = hashlib.sha256()
@@ -158,12 +177,14 @@ def round_trip(text: Column, ranks: str, pattern: str, with_ids: bool = False) -
     return digests(text)
 
 
-def encoded(docs: DataFrame, ranks: str, pattern: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+def encoded(
+    docs: DataFrame, ranks: str, pattern: str, text: str = "text", with_ids: bool = False, max_states: int = _STATES, max_pieces: int = _PIECES
+) -> DataFrame:
     """`docs` with n_tokens, ids_sha256 and decoded_sha256 of the round trip, and the ids if asked for.
 
     Null and empty texts: no tokens, and the digests of no bytes. Repeated rows repeat their result.
     Columns of these names are replaced; all others stay.
     """
-    found = docs.withColumn("_trip", round_trip(F.coalesce(F.col(text), F.lit("")), ranks, pattern, with_ids))
+    found = docs.withColumn("_trip", round_trip(F.coalesce(F.col(text), F.lit("")), ranks, pattern, with_ids, max_states, max_pieces))
     names = found.schema["_trip"].dataType.names
     return found.withColumns({n: F.col(f"_trip.{n}") for n in names}).drop("_trip")

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -110,6 +111,20 @@ def test_utf8_stream_matches_replacement():
         assert stream.feed(data[:i]) + stream.feed(data[i:]) + stream.close() == data.decode("utf-8", "replace")
 
 
+def test_codec_works_in_portions(spark):
+    """Runs of texts of a batch are answered one by one; a small memory changes nothing."""
+    texts = pd.Series(["", "one " * 300_000, "two", "", "three " * 200_000, "four"])
+    assert [len(p) for p in bpe_codec._portions(texts)] == [5, 1]
+    assert list(bpe_codec._portions(pd.Series([], dtype=object))) == []
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    plain = {r["doc_id"]: r for r in bpe_codec.encoded(rows, RANKS, PATTERN).drop("text").collect()}
+    small = {r["doc_id"]: r for r in bpe_codec.encoded(rows, RANKS, PATTERN, max_states=20, max_pieces=2).drop("text").collect()}
+    assert plain == small
+    for i, t in enumerate(texts):
+        assert plain[i]["n_tokens"] == len(encoding().encode_ordinary(t))
+        assert plain[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+
+
 def test_round_trip_rows(edges, nothing):
     enc = encoding()
     got = bpe_codec.encoded(edges, RANKS, PATTERN, with_ids=True)
