@@ -11,10 +11,8 @@ _TYPES = {f.name: f.dataType for f in S.FLOW.fields}
 
 
 def _given(*names: str) -> Column:
-    """First field that is present, not empty and not zero."""
-    return F.coalesce(
-        *[F.when(~F.col(n).isin("", "0", "0.0"), F.col(n)) for n in (f"e.`{x}`" for x in names)]
-    )
+    """First field that is present and not empty; numbers that are zero are left out when lines are parsed."""
+    return F.coalesce(*[F.nullif(F.col(f"e.`{x}`"), F.lit("")) for x in names])
 
 
 def _flow_row(kind: str, fields: dict[str, Column]) -> list[Column]:

@@ -284,6 +284,23 @@ def _(spark, d):
     return _conn_columns(logs.normalize_lines(_lines(spark, d)["conn"], "conn"))
 
 
+@query(
+    "normalize_conn_numbers",
+    """SELECT event_id AS seq, CAST(trunc(coalesce(value, 0)) AS BIGINT) AS bytes_out, CAST(0 AS BIGINT) AS bytes_in,
+       CAST(CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END AS BIGINT) AS packets_out, CAST(0 AS INTEGER) AS src_port FROM events""",
+)
+def _(spark, d):
+    """Counts written as fractions, as text or as zero, and ports out of range."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    packets = F.element_at(F.array(F.lit('"0"'), F.lit("0"), F.lit("3.0")), (col("event_id") % 3 + 1).cast("int"))
+    line = F.concat(
+        F.lit('{"orig_bytes":'), F.coalesce(col("value").cast("string"), F.lit("null")), F.lit(',"resp_bytes":"12.7","orig_pkts":'),
+        packets, F.lit(',"id.orig_p":99999999999}'),
+    )
+    rows = logs.normalize_lines(e.select(col("event_id").alias("seq"), line.alias("value")), "conn")
+    return rows.select("seq", "bytes_out", "bytes_in", "packets_out", "src_port")
+
+
 @query("scan_zeek_logs", _CONN_SQL)
 def _(spark, d):
     return _conn_columns(logs.normalize_lines(_dirty(_lines(spark, d)["conn"]), "conn"))

@@ -43,7 +43,12 @@ def alert_pipeline(
     tie: str = "peers",
     detectors=None,
 ) -> DataFrame:
-    """All alerts of a set of flow records, suppressed ones included and marked."""
+    """All alerts of a set of flow records, suppressed ones included and marked.
+
+    The records are written once to the shared work folder: each group of features reads the few columns it
+    needs from there, and logs or captures are read, parsed and joined a single time.
+    """
     th = th or Thresholds()
-    alerts = alerts_from_candidates(candidate_records(flows, th, tie, detectors), th)
+    records = materialize(flows, "records")
+    alerts = alerts_from_candidates(candidate_records(records, th, tie, detectors), th)
     return mark_suppressed(alerts, rules, as_of if as_of is not None else F.current_timestamp())

@@ -13,8 +13,13 @@ def arrival_order() -> Column:
 
 #: Fields that are lists, but may be written as a single text: read as text, so that such a line stays an entry.
 _LISTS = [f.name for f in S.LOG_ENTRY.fields if isinstance(f.dataType, T.ArrayType)]
+#: Fields of which the number 0 counts as missing, while the text "0" is a value: read with their JSON type.
+_COUNTS = [
+    "orig_bytes", "orig_ip_bytes", "bytes_out", "resp_bytes", "resp_ip_bytes", "bytes_in",
+    "orig_pkts", "packets_out", "resp_pkts", "packets_in", "id.orig_p", "id.resp_p", "src_port", "dst_port",
+]
 _PARSED = T.StructType(
-    [T.StructField(f.name, T.StringType() if f.name in _LISTS else f.dataType) for f in S.LOG_ENTRY.fields]
+    [T.StructField(f.name, T.VariantType() if f.name in _COUNTS else T.StringType()) for f in S.LOG_ENTRY.fields]
     + [T.StructField("_malformed", T.StringType())]
 )
 
@@ -40,6 +45,20 @@ def _list_of(text: Column) -> Column:
     return F.when(text.isNotNull(), F.coalesce(items, F.array(text)))
 
 
+def _count_of(v: Column) -> Column:
+    """A JSON number without its fraction, none for the number 0; a text as it stands."""
+    number = F.try_variant_get(v, "$", "double")
+    whole = F.coalesce(F.try_variant_get(v, "$", "bigint"), number.try_cast("bigint"))
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).when(
+        number != 0, whole.cast("string")
+    )
+
+
+def _field(name: str) -> Column:
+    value = F.col(f"e.`{name}`")
+    return _list_of(value) if name in _LISTS else _count_of(value) if name in _COUNTS else value
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Lines (value, seq) to log entries `e`; malformed lines are left out.
 
@@ -47,7 +66,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """
     parsed = F.filter(F.array(_entry()), _is_entry)
     entries = _content(lines).select("seq", F.explode(parsed).alias("e"))
-    fields = [_list_of(F.col(f"e.{n}")).alias(n) if n in _LISTS else F.col(f"e.`{n}`") for n in S.LOG_ENTRY.names]
+    fields = [_field(n).alias(n) for n in S.LOG_ENTRY.names]
     return entries.select("seq", F.struct(*fields).alias("e"))
 
 

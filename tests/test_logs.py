@@ -147,3 +147,17 @@ def test_list_fields_given_as_text(spark):
     got = [r["answers"] for r in logs.normalize_lines(df, "dns").orderBy("seq").collect()]
     assert got == [["192.0.2.1"], ["192.0.2.1", "192.0.2.2"], [], ["[cut"]]
     assert logs.rejected_lines(df).count() == 0
+
+
+def test_numbers_keep_their_json_type(spark):
+    """A number loses its fraction, the number 0 is missing, the text "0" is a value, other text is the default."""
+    lines = [
+        '{"id.orig_p":77.0,"orig_bytes":2750.0,"resp_bytes":3e3,"orig_pkts":"0","resp_pkts":"12.7"}',
+        '{"id.orig_p":"80","orig_bytes":0,"bytes_out":9,"resp_bytes":"","bytes_in":5,"orig_pkts":0,"resp_pkts":0.5,"packets_in":4}',
+        '{"id.orig_p":99999999999,"orig_bytes":1e30,"resp_bytes":null,"orig_pkts":true,"resp_pkts":[1]}',
+    ]
+    rows = spark.createDataFrame(list(enumerate(lines)), "seq long, value string")
+    got = logs.normalize_lines(rows, "conn").orderBy("seq")
+    assert [tuple(r) for r in got.select("src_port", "bytes_out", "bytes_in", "packets_out", "packets_in").collect()] == [
+        (77, 2750, 3000, 0, 0), (80, 9, 5, 1, 0), (0, 0, 0, 1, 0),
+    ]

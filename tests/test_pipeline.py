@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from skeinwatch import schemas as S
 from skeinwatch.operators import alerts as al, detectors as det
 from skeinwatch.operators.thresholds import Thresholds
+from skeinwatch.plans import pipeline
 from skeinwatch.plans.pipeline import alert_pipeline
 
 SYN = ["SYN"]
@@ -368,3 +369,17 @@ def test_stored_severity_is_kept(make_flows):
     alerts = alert_pipeline(make_flows(rows)).withColumn("severity", F.when(F.col("source_ip") == "10.0.0.1", "low"))
     got = {r["source_ip"]: r["severity"] for r in al.calibrate_missing(alerts).collect()}
     assert got == {"10.0.0.0": "critical", "10.0.0.1": "low"}
+
+
+def test_records_are_written_once_before_features_read_them(make_flows, monkeypatch):
+    seen = []
+
+    def spy(records, *args):
+        seen.append(records)
+        return candidates(records, *args)
+
+    candidates = pipeline.candidate_records
+    monkeypatch.setattr(pipeline, "candidate_records", spy)
+    alert_pipeline(make_flows(train("10.9.9.9", [1000.0, 1001.0])))
+    files = seen[0].inputFiles()
+    assert files and all("/skeinwatch/records-" in f for f in files)
