@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the least doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard similarity 0.8) stays: that with the least doc_id."""
+    return simhash.keep_one_similar(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

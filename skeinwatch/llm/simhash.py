@@ -10,6 +10,10 @@ is met once, and it is verified on the fingerprints within the join.
 
 Equal fingerprints are one node from the start, whatever their number. A fingerprint has at
 most 64 + 2016 others within two bits, so links grow in proportion to distinct fingerprints.
+
+Two bits mean little more than a copy. `keep_one_similar` therefore takes near-duplicates by the Jaccard
+similarity of their word shingles: cells of the same grid and bands of shingle minima (32 of 4, so that a pair at
+0.8 is missed with a chance of 5e-8) propose pairs, and each is verified exactly on the shingle sets.
 """
 
 from __future__ import annotations
@@ -26,18 +30,24 @@ from .components import connected_components
 
 _RADIUS = 2
 _LOW_BITS = 0x5555555555555555
+_BANDS, _BAND_ROWS = 32, 4
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (_BANDS * _BAND_ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str, width: int = 3) -> int:
-    """64 bits, each set if it is set in over half of the XXH64 (seed 42) of the word shingles."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles in order; of all words where they are fewer than `width`, of nothing without words."""
     import xxhash
 
     words = text.encode("utf-8").lower().split()  # bytes: only A-Z change, only ASCII white space separates
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, 42) for s in shingles], np.uint64)
+    return np.array([digest(s, 42) for s in shingles], np.uint64)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half of the hashes; zero without hashes."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65536):
         part = hashes[k : k + 65536]
@@ -46,6 +56,11 @@ def fingerprint(text: str, width: int = 3) -> int:
     return int(bits.view(np.int64)[0])
 
 
+def fingerprint(text: str, width: int = 3) -> int:
+    """64 bits, each set if it is set in over half of the XXH64 (seed 42) of the word shingles."""
+    return majority_bits(shingle_hashes(text, width))
+
+
 def simhash(text: Column) -> Column:
     """Fingerprints as signed longs; zero for null texts and texts without words."""
 
@@ -133,5 +148,90 @@ def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id") ->
     return keyed.join(kept, "_kept", "left_semi").dropDuplicates(["_kept"]).drop("_kept")
 
 
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key a band: of the minima of its hash functions over the (distinct) shingle hashes, and its number."""
+    import xxhash
+
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[k : k + 1024, None] * _FACTORS[:, 0] + _FACTORS[:, 1]).min(axis=0), out=least)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(_BANDS, _BAND_ROWS))]
+    return np.array(keys, np.uint64).view(np.int64)
+
+
+def _sketch(text: Column, width: int) -> Column:
+    """fp, node (names the set of shingles), size (of that set) and bands."""
+
+    @F.pandas_udf("fp long, node long, size long, bands array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for texts in batches:
+            rows = []
+            for t in texts.fillna(""):
+                hashes = shingle_hashes(t, width)
+                distinct = np.unique(hashes)
+                node = xxhash.xxh64_intdigest(distinct.tobytes(), 7)
+                rows.append((majority_bits(hashes), node - (node >> 63 << 64), len(distinct), band_keys(distinct)))
+            yield pd.DataFrame(rows, columns=["fp", "node", "size", "bands"])
+
+    return of(text)
+
+
+def _shingle_set(text: Column, width: int) -> Column:
+    @F.pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts.fillna("")], dtype=object)
+
+    return of(text)
+
+
+def keep_one_similar(docs: DataFrame, text: str = "text", id_column: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`docs` with one document of each class of near-duplicates: that with the least id (a null id only if no other is there).
+
+    Two documents are linked if the Jaccard similarity of their sets of `width` words is at least `similarity`;
+    classes are what links reach. Of rows with equal id and text one stays. Texts without words are one class.
+    """
+    row = F.xxhash64(F.col(id_column), F.col(text))
+    read = docs.select(id_column, row.alias("row"), _sketch(F.col(text), width).alias("s"))
+    prints = materialize(read.select(id_column, "row", "s.*"), "sketches")
+    groups = prints.groupBy("node").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("fp", "size", "bands")])
+    slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = F.transform(marked_cells(segment_counts(F.col("fp"))), lambda m: m["cell"])
+    cells = groups.filter("size > 0").repartition(slots, "node").select("node", "row", "size", F.explode(F.concat("bands", grid)).alias("cell"))
+    centres = cells.groupBy("cell").agg(F.min_by(F.struct("node", "row", "size"), "node").alias("c"), F.count("*").alias("n")).filter("n > 1")
+    shared = materialize(cells.join(centres.drop("n"), "cell"), "shared-cells")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs of a and b (node, row, size) that are similar, as nodes."""
+        low, high = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
+        some = materialize(pairs.filter(low + 1e-9 >= high * similarity).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.row").alias("xr"), F.col("b.row").alias("yr")).distinct(), "pairs")
+        wanted = some.select(F.col("xr").alias("row")).union(some.select("yr")).distinct()
+        texts = docs.select(row.alias("row"), F.col(text).alias("_text")).join(wanted, "row", "left_semi").dropDuplicates(["row"])
+        sets = materialize(texts.select("row", _shingle_set(F.col("_text"), width).alias("s")), "shingles")
+        left, right = (sets.select(F.col("row").alias(k), F.col("s").alias(s)) for k, s in (("xr", "p"), ("yr", "q")))
+        both = F.size(F.array_intersect("p", "q"))
+        near = both + 1e-9 >= (F.size("p") + F.size("q") - both) * similarity
+        return some.join(left, "xr").join(right, "yr").filter(near).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    # First each node with the first of its cells: copies of one text, however many, are one class by then.
+    member = F.struct("node", "row", "size").alias("a")
+    first = materialize(linked(shared.select(member, F.col("c").alias("b")).filter("a.node != b.node")), "links")
+    roots = materialize(connected_components(first), "roots")
+    # Then, in cells that still hold several classes, what is not of the first one's class with all of other classes.
+    theirs = roots.select(F.col("node").alias("first"), F.col("root").alias("first_root"))
+    known = shared.join(roots, "node", "left").withColumn("first", F.col("c.node")).join(theirs, "first", "left")
+    placed = known.select("cell", member, F.coalesce("root", "node").alias("root"), F.coalesce("first_root", "first").alias("first_root"), "first")
+    others = placed.filter("root != first_root").select("cell", F.col("a").alias("b"), F.col("root").alias("other"), "first")
+    across = placed.drop("first", "first_root").join(others, "cell").filter("root != other AND a.node != first")
+    a, b = (F.when(c, F.col("a")).otherwise(F.col("b")) for c in (F.col("a.node") < F.col("b.node"), F.col("a.node") > F.col("b.node")))
+    second = linked(across.select(a.alias("a"), b.alias("b")))
+    final = connected_components(first.unionByName(second)).select("node", "root")
+    order = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "row")
+    kept = prints.join(final, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min(order).alias("k")).select(F.col("k.row").alias("_row"))
+    return docs.withColumn("_row", row).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+
+
 def _key(doc_id: Column, fp: Column) -> Column:
     return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), fp.cast("string"))

@@ -344,3 +344,31 @@ def test_border_walk_equals_the_merges():
         pairs = [(a, b) for a in ids for b in ids] if len(ids) < 20 else [(pick.choice(ids), pick.choice(ids)) for _ in range(5000)]
         for a, b in pairs:
             assert table.stay_apart(a, b) == (table.merge(table.tokens[a] + table.tokens[b]) == [a, b]), (table.tokens[a], table.tokens[b])
+
+
+def test_near_copies_go_by_their_shingles(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("aeinorst", k=7))
+    texts = [[word() for _ in range(rng.choice((30, 120, 400)))] for _ in range(25)]
+    for t in texts[:20]:  # with some words changed: similar and not so similar ones
+        for share in (0.005, 0.015, 0.03, 0.06):
+            copy = list(t)
+            for i in rng.sample(range(len(t)), max(1, int(share * len(t)))):
+                copy[i] = word()
+            texts.append(copy)
+    hub = [word() for _ in range(100)]  # many copies of one text, and a chain that leads away from it
+    texts += [[*hub[:-1], word()] for _ in range(40)]
+    texts += [hub[k:] + [word() for _ in range(k)] for k in range(0, 60, 4)]
+    texts = [" ".join(t) for t in texts] + ["two words", "TWO  words", "", None]
+    sets = [set(zip(*(w[i:] for i in range(5)))) if len(w) > 4 else {tuple(w)} for w in ((t or "").lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+            old, new = max(root[i], root[j]), min(root[i], root[j])
+            root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame([(i, t, "en", "c") for i, t in enumerate(texts)] + [(3, texts[3], "en", "c"), (None, texts[3], "en", "c")], SCHEMA)
+    got = sorted(r["doc_id"] for r in simhash.keep_one_similar(docs).collect())
+    assert got == sorted(set(root)) and len(got) < len(texts) - 70
+    prints = [fingerprint(t) for t in texts]
+    assert len(got) < len(set(brute_components(range(len(texts)), prints)))  # two bits of three-word shingles leave more
+    assert simhash.keep_one_similar(docs.limit(0)).count() == 0
