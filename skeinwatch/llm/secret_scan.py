@@ -125,6 +125,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 def redact(docs: DataFrame, text: str = "text", mask: str = "[REDACTED]", reach: int = 200) -> DataFrame:
     """`docs` with every reported part of a text replaced by `mask`; all other rows and columns as they are.
 
+    Parts that overlap are masked as far as the farthest of them reaches, with one mask for each start.
     Only texts that pass a plain test for some kind are shuffled; spans depend on the text alone,
     so they are joined by its digest, once for equal texts.
     """
@@ -132,9 +133,10 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[REDACTED]", reach:
     digest = F.sha2(F.col(text).cast("binary"), 256)
     some = docs.filter(may_hold_secret(F.col(text)))
     none = docs.filter(~may_hold_secret(F.col(text)))
+    so_far = Window.partitionBy("_row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     spans = (
         secret_rows(some.select(F.col(text).alias("_text"), digest.alias("_digest")), "_text", ("_digest",), reach)
-        .filter(F.col("kind").isNotNull()).select("_row", "_digest", "start", "end")
+        .filter(F.col("kind").isNotNull()).select("_row", "_digest", "start", F.max("end").over(so_far).alias("end"))
         .groupBy("_row", "_digest").agg(F.sort_array(F.collect_list(F.struct("start", "end")), asc=False).alias("_spans"))
         .dropDuplicates(["_digest"]).select("_digest", "_spans")
     )
