@@ -2,9 +2,10 @@
 
 Everything is DataFrame functions. The matches of a text become rows: `split` gives what lies
 between matches, so running sums of lengths give the positions. Identifiers, secrets and
-endpoints are then interval-joined within a text: two parts share a scope if their starts are at most
-`reach` code points apart. The join is a RANGE frame over the parts in order of their starts,
-so it emits one row a part whatever their number. A weak part is kept only if its scope holds a
+endpoints are then interval-joined within a text: two parts share a scope if they overlap or at most
+`reach` code points lie between the end of one and the start of the other. The join needs only the farthest end
+among the partners that start no later and the next start among those that do, two running values
+over the parts in order of their starts, so it emits one row a part whatever their number. A weak part is kept only if its scope holds a
 part that complements it.
 """
 
@@ -83,10 +84,15 @@ def secret_rows(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
         .withColumn("kind", F.when(holds, F.col("kind")))  # what fails has no kind, but keeps its text's row
         .withColumn("role", role)
     )
-    scope = Window.partitionBy("_row").orderBy("start").rangeBetween(-reach, reach)
+    up, down = (
+        Window.partitionBy("_row").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col("start").asc(), F.col("start").desc())
+    )
 
     def near(*roles: str) -> Column:
-        return F.coalesce(F.max(F.col("role").isin(*roles)).over(scope), F.lit(False))
+        fits = F.col("role").isin(*roles)
+        before = F.max(F.when(fits, F.col("end"))).over(up) >= F.col("start") - reach
+        after = F.min(F.when(fits, F.col("start"))).over(down) <= F.col("end") + reach
+        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
 
     weak = F.col("kind") >= ORDER["login"]
     linked = F.when(F.col("role") == "secret", near("identifier", "endpoint")).otherwise(near("secret"))

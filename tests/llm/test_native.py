@@ -201,3 +201,24 @@ def test_redact_leaves_nothing_of_nested_parts(spark):
         parts = [tuple(map(int, s.split(":")[1:])) for s in spans[r["doc_id"]].split(",") if s]
         hidden = {k for a, b in parts for k in range(a, b)}
         assert r["text"].replace("[REDACTED]", "") == "".join(c for k, c in enumerate(t) if k not in hidden), t
+
+
+def test_scope_is_measured_between_parts(spark):
+    long = "Ab3" * 80
+    texts = [long + " user=bob", "https://x.net/" + "p" * 400 + " Ab3" + "Ab3" * 12, long + " " * 201 + "user=bob", long + " " * 200 + "user=bob", "user=bob" + " " * 200 + long, "user=bob" + " " * 201 + long]
+    docs = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs).collect()}
+    assert got[0] == "opaque:0:240,login:241:249"
+    assert [len([x for x in got[i].split(",") if x]) for i in range(6)] == [2, 2, 0, 2, 2, 0]
+    rng = random.Random(3)
+    bits = [long, "user=bob ", "https://x.net/" + "p" * 230 + " ", " " * 150, " " * 60, "Ab3" * 11 + " ", "token=abcdefg "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 8))) for _ in range(80)]
+    docs = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs).collect()}
+    every = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs, reach=10**6).collect()}
+    role = {k[0]: k[5] for k in secret_scan.KINDS}
+    for i, t in enumerate(texts):  # parts by a reach beyond the text; those with a partner of their own reach stay
+        parts = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in every[i].split(",") if s)]
+        fits = lambda x, y: (role[x] == "secret") != (role[y] == "secret")
+        want = [f"{k}:{a}:{b}" for k, a, b in parts if k in ("assign", "access", "hex") or any(fits(k, j) and c - b <= 200 and a - d <= 200 for j, c, d in parts)]
+        assert got[i] == ",".join(want)
