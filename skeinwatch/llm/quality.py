@@ -2,7 +2,9 @@
 
 References are learned first, over all documents that pass the base rules and are not strewn with symbols: by language, the shares of
 character classes and of common words (those that make up at least `1 / _COMMON` of the language's
-words, so at most `_COMMON`). Each document is then compared with its language by the
+words, so at most `_COMMON`), from the most frequent on pooled into bins of at least `1 / _POOL` of the words:
+most common words are not expected once in a text of a few hundred words, so that a bin for each would scatter
+as far as a text without any common word lies off. Each document is then compared with its language by the
 Jensen-Shannon distance of both histograms. Short texts scatter, so a limit is raised by the distance
 that a sample of the text's length has by chance, and texts under a minimum length are not judged.
 
@@ -27,6 +29,7 @@ from ..sources.work import materialize
 _WHITE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 _COMMON = 1000
+_POOL = 16
 _WINDOW = 5
 _FLUSH = 100_000
 
@@ -102,13 +105,13 @@ class Limits:
 
     min_words: int = 50
     classes: float = 0.12
-    words: float = 0.33
+    words: float = 0.12
     slack: float = 2.0
 
 
 @dataclass
 class Reference:
-    """Of one language: class counts, common words by number, and their counts, those of all others last."""
+    """Of one language: class counts, the bin of each common word, and the counts of bins, that of all other words last."""
 
     classes: np.ndarray
     number: dict[bytes, int] = field(default_factory=dict)
@@ -118,14 +121,15 @@ class Reference:
         found = Counter(words)
         counts = np.zeros(len(self.words))
         for w in found.keys() & self.number.keys():
-            counts[self.number[w]] = found[w]
+            counts[self.number[w]] += found[w]
         counts[-1] = len(words) - counts.sum()
         return js_distance(class_counts(data), self.classes), js_distance(counts, self.words)
 
     def rejects(self, d_classes: float, d_words: float, n_chars: int, n_words: int, limits: Limits) -> bool:
         if n_words < limits.min_words:
             return False
-        by_class, by_word = by_chance(_N_CLASSES, n_chars), by_chance(len(self.words), n_words)
+        of = self.words.sum()
+        by_class, by_word = by_chance(_N_CLASSES, n_chars), by_chance(len(self.words), n_words * of / (n_words + of) if of else n_words)
         return d_classes > limits.classes + limits.slack * by_class or d_words > limits.words + limits.slack * by_word
 
 
@@ -164,6 +168,19 @@ def language_counts(docs: DataFrame, text: str = "text", lang: str = "lang") ->
     return read.mapInPandas(partial, "lang string, kind int, item binary, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
 
+def pooled(words: list[tuple[bytes, int]], total: int) -> tuple[dict[bytes, int], np.ndarray]:
+    """Bins of words in their order, each of at least `1 / _POOL` of `total` but the last, and the counts of bins and of all other words."""
+    number: dict[bytes, int] = {}
+    counts = [0]
+    for w, n in words:
+        if counts[-1] * _POOL >= total:
+            counts.append(0)
+        number[w] = len(counts) - 1
+        counts[-1] += n
+    counts = counts if number else []
+    return number, np.array([*counts, total - sum(counts)], float)
+
+
 def learn_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, Reference]:
     """Histograms of every language. What comes to the driver is bounded by languages x (classes + common words)."""
     counts = materialize(language_counts(docs, text, lang), "language-counts")
@@ -176,10 +193,8 @@ def learn_references(docs: DataFrame, text: str = "text", lang: str = "lang") ->
         if r["kind"] == 0:
             ref.classes[r["item"][0]] = r["n"]
     for code, ref in out.items():
-        words = sorted((bytes(r["item"]), r["n"], r["total"]) for r in rows if r["lang"] == code and r["kind"] == 1)
-        ref.number = {w: i for i, (w, _, _) in enumerate(words)}
-        counted = [n for _, n, _ in words]
-        ref.words = np.array([*counted, (words[0][2] if words else 0) - sum(counted)], float)
+        words = sorted(((bytes(r["item"]), r["n"], r["total"]) for r in rows if r["lang"] == code and r["kind"] == 1), key=lambda w: (-w[1], w[0]))
+        ref.number, ref.words = pooled([(w, n) for w, n, _ in words], words[0][2] if words else 0)
     return out
 
 

@@ -372,3 +372,23 @@ def test_near_copies_go_by_their_shingles(spark):
     prints = [fingerprint(t) for t in texts]
     assert len(got) < len(set(brute_components(range(len(texts)), prints)))  # two bits of three-word shingles leave more
     assert simhash.keep_one_similar(docs.limit(0)).count() == 0
+
+
+def test_texts_without_their_language_s_words_are_rejected(spark):
+    """Two languages with the same letters: 80 common words of Zipf's shares make up a third of either."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("aeinorstlu", k=rng.randint(3, 8)))
+    common = {k: [word() for _ in range(80)] for k in ("en", "fr")}
+    weights = [1 / (i + 3) for i in range(80)]
+    prose = lambda k, n: " ".join(rng.choices(common[k], weights)[0] if rng.random() < 0.34 else word() for _ in range(n))
+    lengths = [60, 100, 200, 500, 1000]
+    rows = [(k, n, prose(k, n)) for k in common for n in lengths for _ in range(20)]
+    clean = len(rows)
+    rows += [(k, n, prose("fr" if k == "en" else "en", n)) for k in common for n in lengths]
+    rows += [(k, n, " ".join(word() for _ in range(n))) for k in common for n in lengths]
+    # references are learned over all; the share of wrong texts is small, as it is in a corpus
+    rows += [(k, 3000, prose(k, 3000)) for k in common for _ in range(10)]
+    docs = spark.createDataFrame([(i, t, k, "") for i, (k, _, t) in enumerate(rows)], SCHEMA)
+    got = {r["doc_id"]: (r["kept"], r["js_words"]) for r in quality.assess(docs).collect()}
+    for i, (k, n, _) in enumerate(rows):
+        assert got[i][0] == (i < clean or n == 3000), (i, k, n, got[i])
