@@ -2,8 +2,10 @@
 
 A text is cut into sentences, each is normalised and looked up among known licence sentences; an
 ordered rule recognises a licence from a sequence of identifiers with few other sentences
-between. Cuts are made twice, with a line break as white space (wrapped notices) and as an end
-(notices on a line of their own), and both are numbered by where their sentences begin.
+between. Cuts are made with a line break as white space (wrapped notices) and as an end
+(notices on a line of their own), each on the text as it is and with the marks of comments and lists blanked
+at the start of its lines, so that a line of marks is an empty line and a list item begins a sentence. Blanks
+replace marks one by one: sentences of all ways lie at positions of one text, and a rule may take its from any.
 
 Everything is DataFrame functions. Only texts that contain one of a few stems, at least one of
 which every known sentence has, are cut at all. Sequences are compared in windows of one text.
@@ -56,6 +58,11 @@ LICENCE_RULES = {
 #: Every known sentence holds one of these, in lower case.
 STEMS = ("licens", "copyright", "permission", "permitted", "warrant", "unencumbered", "free to copy")
 _GAP = r"[ \t\r\n]"
+_ITEM = r"(?:[0-9]{1,3}[.)]|\([a-z0-9]{1,3}\)|[-+\x{2022}])"
+_LIST = rf"[ \t]*(?:[*#/;%]+[ \t]+(?:{_ITEM}|\*)|{_ITEM})[ \t]"
+#: One code point of what may stand before the words of a line: signs, and the numbers of items.
+_MARK = r"(?m)(?:^|\G)(?:[\x20\t!-/:-@\[-`{-~\x{2022}\x{00b7}]|[0-9](?=[0-9]{0,2}[.)][ \t])|(?<=\()[a-z0-9]{1,3}(?=\)[ \t]))"
+_WAYS = 5
 
 
 def _plain(sentence: str) -> str:
@@ -89,32 +96,55 @@ def rule_steps(spark: SparkSession, rules: dict[str, tuple[str, ...]] | None = N
     return spark.range(1).select(F.inline(F.array(*items).cast("array<struct<rule:string,step:int,steps:int,sentence:string>>")))
 
 
-def _cut(text: Column, lines: bool) -> Column:
-    """Sentences with the number of code points before each."""
-    ends = F.regexp_replace(text, rf"([.!?])({_GAP}+)", "$1$2\u0001")
-    ends = F.regexp_replace(ends, r"(\n)" if lines else rf"(\n{_GAP}*\n)", "$1\u0001")
+def _cut(text: Column, way: int) -> Column:
+    """Sentences of a way: line breaks are white space or ends (odd ways), marks stay or are blanked (from 2), a colon at the end of a line is an end (4). Together they are as long as the text."""
+    whole = F.translate(text, "\u0001", " ")
+    if way >= 2:
+        whole = F.regexp_replace(whole, rf"\n(?={_LIST})", "\u0001\n")
+        whole = F.regexp_replace(whole, r"(?m)^(?![ \t]*\*)(.*)\n(?=[ \t]*\*[ \t])", "$1\u0001\n")
+        whole = F.regexp_replace(whole, r":(?=[ \t\r]*\n)", ":\u0001") if way == 4 else whole
+        whole = F.regexp_replace(whole, _MARK, " ")
+    ends = F.regexp_replace(whole, rf"([.!?])({_GAP}+)", "$1$2\u0001")
+    ends = F.regexp_replace(ends, r"(\n)" if way % 2 else rf"(\n{_GAP}*\n)", "$1\u0001")
     return F.split(ends, "\u0001", -1)
 
 
 def recognise(docs: DataFrame, steps: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), gap: int = 2) -> DataFrame:
     """One row per text and licence found: `keep`, licence, rule, n_sentences (of the rule), first_sentence, n_times.
 
-    A rule is found where all its sentences follow in order with at most `gap` others between
-    neighbours; of a licence's rules the longest counts, then the first by name. n_times: how often that rule is found.
+    A rule is found where all its sentences follow in order with at most `gap` others (empty ones do not count) between
+    neighbours in some way of cutting; of a licence's rules the longest counts, then the first by name. n_times: how often that rule is found.
     Texts without a licence (null and empty ones among them) have no row; repeated rows each have theirs. Columns not in `keep` are not read.
     """
     rows = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text")).filter(has_stem(F.col("_text")))
-    both = rows.select(*keep, "_row", F.explode(F.array(*[F.struct(F.lit(i).alias("way"), _cut(F.col("_text"), bool(i)).alias("cut")) for i in (0, 1)])).alias("c"))
-    said = both.select(*keep, "_row", F.col("c.way").alias("way"), F.posexplode("c.cut").alias("nth", "sentence")).select(
-        *keep, "_row", "way", "nth", normalised(F.col("sentence")).alias("sentence"))
-    hits = said.join(steps, "sentence")
-    order = Window.partitionBy("_row", "way", "rule").orderBy("nth", "step")
-    follows = (F.col("step") == F.lag("step").over(order) + 1) & (F.col("nth") - F.lag("nth").over(order) <= gap + 1)
+    cuts = F.array(*[F.struct(F.lit(i).alias("way"), _cut(F.col("_text"), i).alias("cut")) for i in range(_WAYS)])
+    ways = rows.select(*keep, "_row", F.explode(cuts).alias("c"))
+    said = ways.select(*keep, "_row", F.col("c.way").alias("way"), F.posexplode("c.cut").alias("nth", "said"))
+    known = steps.groupBy("sentence").agg(F.collect_list(F.struct("rule", "step", "steps")).alias("uses"))
+    first_word = F.length(F.regexp_extract("said", "^[^A-Za-z0-9]*", 0))
+    looked_up = (
+        said.select(*keep, "_row", "way", "nth", F.length("said").cast("long").alias("size"), first_word.alias("lead"), normalised(F.col("said")).alias("sentence"))
+        .join(F.broadcast(known), "sentence", "left").withColumn("empty", F.col("sentence") == "").drop("sentence")
+    )
+    through = Window.partitionBy("_row", "way").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begun = Window.partitionBy("_row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = looked_up.withColumn("start", F.sum("size").over(through) - F.col("size") + F.col("lead")).withColumns(
+        {f"begun_{i}": F.count(F.when((F.col("way") == i) & ~F.col("empty"), 1)).over(begun) for i in range(_WAYS)}
+    )
+    begun_in = [f"begun_{i}" for i in range(_WAYS)]
+    hits = (
+        placed.filter("uses IS NOT NULL").select(*keep, "_row", "way", "nth", "start", *begun_in, F.inline("uses"))
+        .groupBy("_row", *keep, "rule", "step", "steps", "start", *begun_in).agg(F.min(F.struct("way", "nth")).alias("at"))
+    )
+    order = Window.partitionBy("_row", "rule").orderBy("start", "step")
+    others = F.least(*[F.col(c) - F.lag(c).over(order) for c in begun_in]) - 1
+    follows = (F.col("step") == F.lag("step").over(order) + 1) & (others <= gap)
     runs = hits.withColumn("run", F.sum(F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).over(order))
     found = (
-        runs.groupBy("_row", *keep, "way", "rule", "steps", "run").agg(F.count("*").alias("n"), F.min("step").alias("from"), F.min("nth").alias("first"))
+        runs.groupBy("_row", *keep, "rule", "steps", "run").agg(F.count("*").alias("n"), F.min("step").alias("from"), F.min("at").alias("first"))
         .filter((F.col("from") == 1) & (F.col("n") == F.col("steps")))
-        .groupBy("_row", *keep, "rule", "steps", "way").agg(F.min("first").alias("first_sentence"), F.count("*").alias("n_times"))
+        .groupBy("_row", *keep, "rule", "steps").agg(F.min("first").alias("first"), F.count("*").alias("n_times"))
+        .select("_row", *keep, "rule", "steps", F.col("first.way").alias("way"), F.col("first.nth").alias("first_sentence"), "n_times")
     )
     licence = F.substring_index("rule", "/", 1).alias("licence")
     best = found.withColumn("licence", licence).groupBy("_row", *keep, "licence").agg(

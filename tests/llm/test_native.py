@@ -5,6 +5,7 @@ import io
 import random
 import re
 import sys
+import textwrap
 from pathlib import Path
 
 import pytest
@@ -222,3 +223,23 @@ def test_scope_is_measured_between_parts(spark):
         fits = lambda x, y: (role[x] == "secret") != (role[y] == "secret")
         want = [f"{k}:{a}:{b}" for k, a, b in parts if k in ("assign", "access", "hex") or any(fits(k, j) and c - b <= 200 and a - d <= 200 for j, c, d in parts)]
         assert got[i] == ",".join(want)
+
+
+def test_licences_in_comments_and_lists(spark):
+    def wrapped(sentences, prefix, width=70, between=""):
+        blocks = ["\n".join(prefix + x for x in textwrap.wrap(s, width)) for s in sentences]
+        return f"\n{prefix.rstrip()}{between}\n".join(blocks)
+
+    apache, mit, bsd = (licenses.LICENCE_RULES[r] for r in ("Apache-2.0/header", "MIT/text", "BSD-2-Clause/text"))
+    header = [apache[0], apache[1], "    http://www.apache.org/licenses/LICENSE-2.0", " ".join(apache[2:])]
+    texts = [("Apache-2.0", "/*\n" + wrapped(["Copyright 2020 The Authors", *header], p) + "\n */\nint x;") for p in (" * ", "# ", "// ", "-- ")]
+    texts += [("MIT", "/*\n" + wrapped([mit[0], mit[1], " ".join(mit[2:])], p) + "\n */\n") for p in (" * ", "# ", "")]
+    for p, one, two in (("", "1. ", "2. "), ("", "* ", "* "), (" * ", "1. ", "2. "), ("# ", "- ", "- "), ("", "(a) ", "(b) "), ("// ", "* ", "* ")):
+        items = [textwrap.fill(s, 70, initial_indent=p + n, subsequent_indent=p + "   ") for s, n in zip(bsd[1:], (one, two))]
+        texts.append(("BSD-2-Clause", "\n".join([textwrap.fill(bsd[0], 70, initial_indent=p, subsequent_indent=p), *items])))
+    texts.append(("MIT", mit[0] + "\n" + textwrap.fill(mit[1], 50) + "\n\n" + mit[2] + "\n" + textwrap.fill(mit[3], 60)))  # no single way has all
+    gap = " ".join(f"Another sentence {i}." for i in range(5))
+    texts.append((None, "\n".join([bsd[0], gap, "1. " + bsd[1], "2. " + bsd[2]])))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licence"] for r in licenses.recognise(docs, licenses.rule_steps(spark)).collect()}
+    assert got == {i: k for i, (k, _) in enumerate(texts) if k}
