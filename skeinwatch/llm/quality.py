@@ -4,7 +4,7 @@ References are learned first, over all documents that pass the base rules and ar
 character classes and of common words (those that make up at least `1 / _COMMON` of the language's
 words, so at most `_COMMON`), from the most frequent on pooled into bins of at least `1 / _POOL` of the words:
 most common words are not expected once in a text of a few hundred words, so that a bin for each would scatter
-as far as a text without any common word lies off. Each document is then compared with its language by the
+as far as a text without any common word lies off. A word seen under `_SEEN` times has no share to go by. Each document is then compared with its language by the
 Jensen-Shannon distance of both histograms. Short texts scatter, so a limit is raised by the distance
 that a sample of the text's length has by chance, and texts under a minimum length are not judged.
 
@@ -30,6 +30,7 @@ _WHITE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 _COMMON = 1000
 _POOL = 16
+_SEEN = 10
 _WINDOW = 5
 _FLUSH = 100_000
 
@@ -185,7 +186,7 @@ def learn_references(docs: DataFrame, text: str = "text", lang: str = "lang") ->
     """Histograms of every language. What comes to the driver is bounded by languages x (classes + common words)."""
     counts = materialize(language_counts(docs, text, lang), "language-counts")
     totals = counts.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    common = counts.join(totals, "lang", "left").filter(f"kind = 0 OR (n * {_COMMON} >= total AND length(item) <= 64)")
+    common = counts.join(totals, "lang", "left").filter(f"kind = 0 OR (n * {_COMMON} >= total AND n >= {_SEEN} AND length(item) <= 64)")
     out: dict[str, Reference] = {}
     rows = common.collect()
     for r in rows:
