@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, licenses, maxent_lm, quality, secret_scan, simhash, token_counts, url_rules, warc
+from . import bpe_codec, decontaminate, hard_negatives, licenses, maxent_lm, quality, secret_scan, simhash, source_audit, token_counts, url_rules, warc, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,3 +127,73 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.recognise(table(spark, sf_dir, "documents"), licenses.rule_steps(spark))
+
+
+_OP11_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT DISTINCT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id OR a.label <> b.label
+    WHERE a.vec_id % 100 = 0),
+positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score
+    FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+    CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+    s.id AS negative_id, positive_score, s.score AS negative_score
+FROM positives JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) <= 10"""
+
+
+@query(_OP11_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.usable(table(spark, sf_dir, "embeddings"))
+    noisy = rows.withColumn("label", F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(noisy, F.col("id") % 100 == 0)
+
+
+@query()
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+_OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (
+    SELECT r, lang, source,
+        unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM d),
+kept AS (SELECT lang, term, count(*) AS k FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS (
+    SELECT g.lang, g.source, kept.term, count(w.term) AS n
+    FROM g JOIN kept USING (lang) LEFT JOIN w ON w.lang = g.lang AND w.source = g.source AND w.term = kept.term
+    GROUP BY g.lang, g.source, kept.term),
+t AS (
+    SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, count(*) OVER (PARTITION BY lang, source) AS v FROM c),
+l AS (
+    SELECT lang, term, 1 + (1000000000 * CAST(k + 5 AS HUGEINT)) // CAST(sum(k) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang) AS HUGEINT) AS q FROM kept),
+p AS (SELECT lang, source, term, n, 1 + (1000000000 * CAST(n + 5 AS HUGEINT)) // CAST(total + 5 * v AS HUGEINT) AS p FROM t),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+    LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+    GROUP BY a.lang, a.source, b.source),
+every AS (
+    SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM pairs
+    UNION ALL
+    SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM every QUALIFY part = 'pair' OR rank <= 50"""
+
+
+@query(_OP13_SQL)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(table(spark, sf_dir, "documents"))
