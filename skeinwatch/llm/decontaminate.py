@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.work import materialize
+from .simhash import free_name, row_key
 
 _MIN_RUN, _TOLERANCE, _MIN_ITEM = 13, 5, 5
 #: Lossless for two substitutions in 13 words, which the tests prove by trying all.
@@ -258,6 +259,12 @@ def _search(shared):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """`docs` without those that share a passage with the benchmark. The ids to drop are written first, so Spark knows their size when it picks the join."""
-    bad = materialize(contaminated(docs, benchmark, text, doc_id, item_id).select(F.col(doc_id).alias("_leak")).distinct(), "leaks")
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_leak")), "left_anti")
+    """`docs` without the rows whose text shares a passage with the benchmark; other rows of the same id, or without an id, stay.
+
+    Null and empty texts stay, repeated rows stay or go together, all columns are kept whatever their names, and an empty table gives
+    no rows. Rows are known by 128 bits of id and text; those to drop are written first, so Spark knows their size when it picks the join.
+    """
+    key = free_name(docs, "_leak")
+    keyed = docs.withColumn(key, row_key(doc_id, text))
+    bad = materialize(contaminated(keyed, benchmark, text, key, item_id).select(key).distinct(), "leaks")
+    return keyed.join(bad, key, "left_anti").drop(key)

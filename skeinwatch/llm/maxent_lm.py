@@ -198,10 +198,24 @@ def _context(ids: np.ndarray, begins: np.ndarray, outside: int) -> tuple[np.ndar
     return one, two
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    offsets = column.offsets.to_numpy()
-    values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64)
-    return values, offsets - offsets[0]
+def _portions(batch: pa.RecordBatch, column: int, size: int = 1 << 18) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows of whole texts with about `size` tokens (a longer text alone), their ids and where the texts begin and end among them."""
+    lists = batch.column(column)
+    offsets = lists.offsets.to_numpy()
+    values = lists.values.to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(lists):
+        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield slice(at, upto), values[offsets[at] : offsets[upto]].astype(np.int64), offsets[at : upto + 1] - offsets[at]
+        at = upto
+
+
+def _positions(batch: pa.RecordBatch, column: int, m: Model) -> Iterator[tuple[slice, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Slices of a portion's ids, last words and last words but one."""
+    for _, ids, offsets in _portions(batch, column):
+        one, two = _context(ids, offsets[:-1], m.tail_id() + 1)
+        for part in _batches(ids):
+            yield part, (ids, one, two)
 
 
 def _batches(ids: np.ndarray, size: int = 1 << 16) -> Iterator[slice]:
@@ -217,8 +231,9 @@ def tokenised(docs: DataFrame, model, text: str, doc_id: str) -> DataFrame:
         number = {w: i for i, w in enumerate(m.head)}
         other, end = m.tail_id(), number.get(_END, m.tail_id())
         for batch in batches:
+            at, size = 0, 0
             ids, tails, numbers = [], [], []
-            for t in batch.column(3):
+            for k, t in enumerate(batch.column(3), 1):
                 words = _words(t.as_py())
                 found = [number.get(w, other) for w in words]
                 rest = Counter([w for w, i in zip(words, found) if i == other])
@@ -228,8 +243,13 @@ def tokenised(docs: DataFrame, model, text: str, doc_id: str) -> DataFrame:
                 ids.append(np.array(found, np.int32))
                 tails.append(list(rest))
                 numbers.append(list(rest.values()))
-            made = [pa.array(ids, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.binary())), pa.array(numbers, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["_row", "doc_id", "held_out", "ids", "tail", "tail_n"])
+                size += len(found)
+                if size >= 1 << 18 or k == batch.num_rows:
+                    made = [pa.array(ids, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.binary())), pa.array(numbers, pa.list_(pa.int32()))]
+                    given = [c.slice(at, k - at) for c in batch.columns[:3]]
+                    yield pa.RecordBatch.from_arrays([*given, *made], ["_row", "doc_id", "held_out", "ids", "tail", "tail_n"])
+                    at, size = k, 0
+                    ids, tails, numbers = [], [], []
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).cast("string").alias("text"))
@@ -261,9 +281,7 @@ def _gathered(tokens: DataFrame, model, observe: bool) -> tuple[np.ndarray, np.n
         total = np.zeros((m.settings.buckets, m.n_classes), order="F")
         pairs = np.zeros(m.settings.pair_buckets * m.paired)
         for batch in batches:
-            ids, offsets = _flat(batch.column(0))
-            one, two = _context(ids, offsets[:-1], m.tail_id() + 1)
-            for part in _batches(ids):
+            for part, (ids, one, two) in _positions(batch, 0, m):
                 y = m.class_of[ids[part]]
                 buckets = m.features(one[part], two[part])
                 if observe:
@@ -314,19 +332,20 @@ def _scored(tokens: DataFrame, fitted) -> DataFrame:
         m = fitted.value
         log_count = np.log10(np.append(m.counts + 1.0, 1.0))
         for batch in batches:
-            ids, offsets = _flat(batch.column(3))
-            one, two = _context(ids, offsets[:-1], m.tail_id() + 1)
-            logp = np.zeros(len(ids))
-            for part in _batches(ids):
-                y = m.class_of[ids[part]]
-                classes = m.class_log_probabilities(m.features(one[part], two[part]))
-                logp[part] = classes[np.arange(len(y)), y] + m.word_log_probabilities(ids[part], m.pair_bucket(one[part]))
-            text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            size, n = len(offsets) - 1, np.diff(offsets)
-            known = np.bincount(text, ids < m.tail_id(), size)
-            columns = (n, known, np.bincount(text, log_count[ids], size), np.bincount(text, logp, size) / np.log(10))
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], ["_row", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "head_score"])
+            for rows, ids, offsets in _portions(batch, 3):
+                one, two = _context(ids, offsets[:-1], m.tail_id() + 1)
+                logp = np.zeros(len(ids))
+                for part in _batches(ids):
+                    y = m.class_of[ids[part]]
+                    classes = m.class_log_probabilities(m.features(one[part], two[part]))
+                    logp[part] = classes[np.arange(len(y)), y] + m.word_log_probabilities(ids[part], m.pair_bucket(one[part]))
+                size, n = len(offsets) - 1, np.diff(offsets)
+                text = np.repeat(np.arange(size), n)
+                known = np.bincount(text, ids < m.tail_id(), size)
+                columns = (n, known, np.bincount(text, log_count[ids], size), np.bincount(text, logp, size) / np.log(10))
+                arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
+                given = [c.slice(rows.start, rows.stop - rows.start) for c in batch.columns[:3]]
+                yield pa.RecordBatch.from_arrays([*given, *arrays], ["_row", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "head_score"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
     out = f"_row long, doc_id {kind}, held_out boolean, n_tokens long, head_known double, head_log double, head_score double"

@@ -13,16 +13,19 @@ most 64 + 2016 others within two bits, so links grow in proportion to distinct f
 
 Two bits mean little more than a copy. `keep_one_similar` therefore takes near-duplicates by the Jaccard
 similarity of their word shingles: cells of the same grid and bands of shingle minima (32 of 4, so that a pair at
-0.8 is missed with a chance of 5e-8) propose pairs, and each is verified exactly on the shingle sets.
+0.8 is missed with a chance of 5e-8) propose pairs, and each is verified exactly on the shingle sets. Cells are shuffled once
+and those of a single document end there. In rounds each document is tried with one centre of its cells, so a group of m copies
+costs m pairs; what cells of several classes leave open is searched by prefixes of the rarest shingles.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.work import materialize
@@ -30,15 +33,20 @@ from .components import connected_components
 
 _RADIUS = 2
 _LOW_BITS = 0x5555555555555555
+_PLAIN = bytes(32 if i in string.punctuation.encode() else i for i in range(256))
 _BANDS, _BAND_ROWS = 32, 4
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (_BANDS * _BAND_ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_hashes(text: str, width: int) -> np.ndarray:
-    """XXH64 (seed 42) of the word shingles in order; of all words where they are fewer than `width`, of nothing without words."""
+def shingle_hashes(text: str, width: int, plain: bool = False) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles in order; of all words where they are fewer than `width`, of nothing without words.
+
+    `plain`: ASCII punctuation separates words as white space does.
+    """
     import xxhash
 
-    words = text.encode("utf-8").lower().split()  # bytes: only A-Z change, only ASCII white space separates
+    raw = text.encode("utf-8").lower()  # bytes: only A-Z change, only ASCII white space separates
+    words = (raw.translate(_PLAIN) if plain else raw).split()
     if not words:
         return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
@@ -162,17 +170,16 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 def _sketch(text: Column, width: int) -> Column:
     """fp, node (names the set of shingles), size (of that set) and bands."""
 
-    @F.pandas_udf("fp long, node long, size long, bands array<long>")
+    @F.pandas_udf("fp long, node binary, size int, bands array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for texts in batches:
             rows = []
             for t in texts.fillna(""):
-                hashes = shingle_hashes(t, width)
+                hashes = shingle_hashes(t, width, plain=True)
                 distinct = np.unique(hashes)
-                node = xxhash.xxh64_intdigest(distinct.tobytes(), 7)
-                rows.append((majority_bits(hashes), node - (node >> 63 << 64), len(distinct), band_keys(distinct)))
+                rows.append((majority_bits(hashes), xxhash.xxh3_128_digest(distinct.tobytes(), 7), len(distinct), band_keys(distinct)))
             yield pd.DataFrame(rows, columns=["fp", "node", "size", "bands"])
 
     return of(text)
@@ -182,55 +189,130 @@ def _shingle_set(text: Column, width: int) -> Column:
     @F.pandas_udf("array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts.fillna("")], dtype=object)
+            yield pd.Series([np.unique(shingle_hashes(t, width, plain=True)).view(np.int64) for t in texts.fillna("")], dtype=object)
 
     return of(text)
 
 
+def row_key(id_column: str, text: str) -> Column:
+    """128 bits of id and text, as hexadecimal text; null and empty texts differ, and no id differs from any."""
+    marked = [F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(c).cast("string"), F.lit("\0"))) for c in (id_column, text)]
+    return F.md5(F.concat(*marked))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, or that with underscores before it, so that `docs` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def _close(a: Column, b: Column, similarity: float) -> Column:
+    """Whether sets of these sizes can be similar at all."""
+    return F.least(a, b) + 1e-9 >= F.greatest(a, b) * similarity
+
+
+class _Classes:
+    """Links found so far among the nodes (shingle sets) that share a cell, and the classes they make."""
+
+    def __init__(self, sets: DataFrame, similarity: float):
+        self.sets, self.similarity, self.links = sets, similarity, None
+        self.roots = sets.sparkSession.createDataFrame([], "node binary, root binary")
+
+    def placed(self, nodes: DataFrame) -> DataFrame:
+        return nodes.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def try_pairs(self, pairs: DataFrame) -> None:
+        """Adds those of the pairs (a, b) whose sets are similar."""
+        left, right = (self.sets.select(F.col("node").alias(k), F.col("s").alias(s)) for k, s in (("a", "p"), ("b", "q")))
+        both = F.size(F.array_intersect("p", "q"))
+        near = both + 1e-9 >= (F.size("p") + F.size("q") - both) * self.similarity
+        new = materialize(pairs.join(left, "a").join(right, "b").filter(near).select("a", "b"), "links")
+        self.links = new if self.links is None else self.links.unionByName(new)
+        self.roots = materialize(connected_components(self.links).select("node", "root"), "roots")
+
+
+def _rounds_of_centres(shared: DataFrame, classes: _Classes) -> None:
+    """Links each node to a centre, one link a node and round: a group of m similar nodes costs m pairs, not m squares.
+
+    A cell's first centre is its least node; the second, the least node that is not of the first one's class.
+    """
+    for number in (1, 2):
+        placed = classes.placed(shared)
+        if number == 2:
+            first = placed.groupBy("cell").agg(F.min_by("root", "node").alias("first"))
+            candidates = placed.join(first, "cell").filter("root != first").drop("first")
+        else:
+            candidates = placed
+        centres = candidates.groupBy("cell").agg(F.min(F.struct("node", "root", "size")).alias("c"))
+        meets = placed.join(centres, "cell").filter((F.col("root") != F.col("c.root")) & _close(F.col("size"), F.col("c.size"), classes.similarity))
+        classes.try_pairs(meets.groupBy("node").agg(F.min("c.node").alias("b")).withColumnRenamed("node", "a"))
+
+
+def _left_pairs(shared: DataFrame, classes: _Classes) -> DataFrame:
+    """All pairs of nodes of different classes that may still be similar, by prefixes of their rarest shingles.
+
+    Only nodes of cells that hold several classes are left. Ordered by how many of them have a shingle, similar sets share one among
+    the first size - ceil(similarity * size) + 1 of each; shingles of one node alone count there but meet nobody. At the first shingle
+    that a pair shares, what follows in both must suffice for the overlap that the similarity asks for.
+    """
+    t = classes.similarity
+    placed = classes.placed(shared)
+    mixed = placed.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("cell")
+    left = materialize(placed.join(mixed, "cell", "left_semi").select("node", "root", "size").distinct(), "left-nodes")
+    items = classes.sets.join(left, "node").select("node", "root", "size", F.explode("s").alias("shingle"))
+    met = items.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    common = items.join(met, "shingle").groupBy("node").agg(F.first("root").alias("root"), F.first("size").alias("size"), F.collect_list(F.struct("df", "shingle")).alias("c"))
+    alone = F.col("size") - F.size("c")
+    long = F.size("c") - F.ceil(F.col("size") * t - 1e-9) + 1
+    prefix = F.slice(F.array_sort("c"), F.lit(1), F.greatest(long, F.lit(0)).cast("int"))
+    index = common.select("node", "root", "size", alone.alias("alone"), F.posexplode(prefix).alias("at", "x")).select(
+        "node", "root", "size", F.col("x.shingle").alias("shingle"), (F.col("size") - F.col("alone") - F.col("at")).alias("rest")
+    )  # rest: the shingle and what follows it
+    index = materialize(index, "prefixes")
+    x, y = index.alias("x"), index.alias("y")
+    needed = F.ceil((F.col("x.size") + F.col("y.size")) * t / (1 + t) - 1e-9)
+    fits = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _close(F.col("x.size"), F.col("y.size"), t)
+    fits &= F.least("x.rest", "y.rest") >= needed
+    return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def keep_one_similar(docs: DataFrame, text: str = "text", id_column: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` with one document of each class of near-duplicates: that with the least id (a null id only if no other is there).
 
-    Two documents are linked if the Jaccard similarity of their sets of `width` words is at least `similarity`;
-    classes are what links reach. Of rows with equal id and text one stays. Texts without words are one class.
+    Words are what white space and ASCII punctuation leave, A-Z lower-cased. Two documents are linked if the Jaccard similarity of their sets of
+    `width` words is at least `similarity`; classes are what links reach. Of rows with equal id and text one stays. Null and empty texts
+    and those without words are one class. All columns are kept, whatever their names. An empty table gives no rows.
     """
-    row = F.xxhash64(F.col(id_column), F.col(text))
-    read = docs.select(id_column, row.alias("row"), _sketch(F.col(text), width).alias("s"))
-    prints = materialize(read.select(id_column, "row", "s.*"), "sketches")
-    groups = prints.groupBy("node").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("fp", "size", "bands")])
     slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = row_key(id_column, text)
+    read = docs.select(F.col(id_column).alias("id"), row.alias("row"), _sketch(F.col(text), width).alias("s"))
+    prints = materialize(read.select("id", "row", "s.*"), "sketches")
+    groups = prints.filter("size > 0").groupBy("node").agg(F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     grid = F.transform(marked_cells(segment_counts(F.col("fp"))), lambda m: m["cell"])
-    cells = groups.filter("size > 0").repartition(slots, "node").select("node", "row", "size", F.explode(F.concat("bands", grid)).alias("cell"))
-    centres = cells.groupBy("cell").agg(F.min_by(F.struct("node", "row", "size"), "node").alias("c"), F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(cells.join(centres.drop("n"), "cell"), "shared-cells")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs of a and b (node, row, size) that are similar, as nodes."""
-        low, high = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
-        some = materialize(pairs.filter(low + 1e-9 >= high * similarity).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.row").alias("xr"), F.col("b.row").alias("yr")).distinct(), "pairs")
-        wanted = some.select(F.col("xr").alias("row")).union(some.select("yr")).distinct()
-        texts = docs.select(row.alias("row"), F.col(text).alias("_text")).join(wanted, "row", "left_semi").dropDuplicates(["row"])
-        sets = materialize(texts.select("row", _shingle_set(F.col("_text"), width).alias("s")), "shingles")
-        left, right = (sets.select(F.col("row").alias(k), F.col("s").alias(s)) for k, s in (("xr", "p"), ("yr", "q")))
-        both = F.size(F.array_intersect("p", "q"))
-        near = both + 1e-9 >= (F.size("p") + F.size("q") - both) * similarity
-        return some.join(left, "xr").join(right, "yr").filter(near).select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-    # First each node with the first of its cells: copies of one text, however many, are one class by then.
-    member = F.struct("node", "row", "size").alias("a")
-    first = materialize(linked(shared.select(member, F.col("c").alias("b")).filter("a.node != b.node")), "links")
-    roots = materialize(connected_components(first), "roots")
-    # Then, in cells that still hold several classes, what is not of the first one's class with all of other classes.
-    theirs = roots.select(F.col("node").alias("first"), F.col("root").alias("first_root"))
-    known = shared.join(roots, "node", "left").withColumn("first", F.col("c.node")).join(theirs, "first", "left")
-    placed = known.select("cell", member, F.coalesce("root", "node").alias("root"), F.coalesce("first_root", "first").alias("first_root"), "first")
-    others = placed.filter("root != first_root").select("cell", F.col("a").alias("b"), F.col("root").alias("other"), "first")
-    across = placed.drop("first", "first_root").join(others, "cell").filter("root != other AND a.node != first")
-    a, b = (F.when(c, F.col("a")).otherwise(F.col("b")) for c in (F.col("a.node") < F.col("b.node"), F.col("a.node") > F.col("b.node")))
-    second = linked(across.select(a.alias("a"), b.alias("b")))
-    final = connected_components(first.unionByName(second)).select("node", "root")
-    order = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "row")
-    kept = prints.join(final, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min(order).alias("k")).select(F.col("k.row").alias("_row"))
-    return docs.withColumn("_row", row).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    cells = groups.repartition(slots, "node").select("node", "size", F.explode(F.concat("bands", grid)).alias("cell"))
+    met = F.count("*").over(Window.partitionBy("cell"))
+    shared = materialize(cells.withColumn("n", met).filter("n > 1").drop("n"), "shared-cells")  # most cells have one node and end here
+    wanted = prints.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    texts = docs.select(row.alias("row"), F.col(text).alias("t")).join(wanted, "row").dropDuplicates(["node"])
+    sets = materialize(texts.select("node", _shingle_set(F.col("t"), width).alias("s")), "shingles")
+
+    classes = _Classes(sets, similarity)
+    _rounds_of_centres(shared, classes)
+    classes.try_pairs(_left_pairs(shared, classes))
+
+    rows = prints.groupBy("row").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("node").alias("node"))
+    named = classes.placed(rows)
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("k"))
+    judged = named.join(best, "root").select("row", "n", (F.col("row") == F.col("k.row")).alias("stays"))
+    # only rows to drop, and kept ones that are there more than once, are looked up again
+    key = free_name(docs, "_row")
+    marks = materialize(judged.filter("NOT stays OR n > 1").select(F.col("row").alias(key), "stays"), "marks")
+    keyed = docs.withColumn(key, row)
+    plain = keyed.join(marks, key, "left_anti")
+    repeated = keyed.join(marks.filter("stays"), key, "left_semi").dropDuplicates([key])
+    return plain.unionByName(repeated).drop(key)
 
 
 def _key(doc_id: Column, fp: Column) -> Column:

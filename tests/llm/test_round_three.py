@@ -271,3 +271,33 @@ def test_shares_of_large_counts(spark):
     got = frame.select("c", "n", "v", source_audit.share(F.col("c"), F.col("n"), F.col("v")).alias("p")).collect()
     for c, n, v, p in got:
         assert p == 1 + 1_000_000_000 * (c + 5) // (n + 5 * v)
+
+
+# --- stages of the pipeline -------------------------------------------------
+
+
+def test_leaks_and_copies_are_rows_not_ids(spark):
+    from skeinwatch.llm import decontaminate, simhash
+
+    rng = random.Random(3)
+    leak = " ".join(rng.choices(["one", "two", "three", "four", "five", "six", "seven"], k=60))
+    clean = [prose(rng, 40) for _ in range(3)]
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    given = [(None, "lead " + leak), (None, clean[0]), (2, clean[1]), (2, clean[2]), (2, leak), (5, None), (6, ""), (2, clean[1])]
+    docs = spark.createDataFrame([(i, t, "user", "user") for i, t in given], "doc_id long, text string, _row string, _leak string")
+    kept = decontaminate.without_leaks(docs, bench)
+    assert kept.columns == docs.columns
+    assert Counter(kept.select("doc_id", "text").collect()) == Counter([(None, clean[0]), (2, clean[1]), (2, clean[2]), (5, None), (6, ""), (2, clean[1])])
+    one = simhash.keep_one_similar(kept)
+    assert one.columns == docs.columns and {r["_row"] for r in one.collect()} == {"user"}
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in one.collect()) == sorted([(0, clean[0]), (2, clean[1]), (2, clean[2]), (5, None)])
+    assert decontaminate.without_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_punctuation_and_case_do_not_make_another_text(spark):
+    from skeinwatch.llm import simhash
+
+    t = prose(random.Random(9), 60)
+    rows = [(1, t), (2, t.replace(",", "").upper().replace("É", "é")), (3, t.replace(" ", " - "))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.keep_one_similar(docs).collect()] == [1]
