@@ -35,6 +35,7 @@ _RADIUS = 2
 _LOW_BITS = 0x5555555555555555
 _PLAIN = bytes(32 if i in string.punctuation.encode() else i for i in range(256))
 _BANDS, _BAND_ROWS = 32, 4
+_ROUNDS = 4
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (_BANDS * _BAND_ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -236,18 +237,16 @@ class _Classes:
 def _rounds_of_centres(shared: DataFrame, classes: _Classes) -> None:
     """Links each node to a centre, one link a node and round: a group of m similar nodes costs m pairs, not m squares.
 
-    A cell's first centre is its least node; the second, the least node that is not of the first one's class.
+    In each round a cell has another centre, the least by a hash of its own; nodes of other classes are tried with that centre they meet
+    in most cells, which is likely the most similar one. What rounds leave is searched afterwards, so their number decides on cost only.
     """
-    for number in (1, 2):
+    for number in range(_ROUNDS):
         placed = classes.placed(shared)
-        if number == 2:
-            first = placed.groupBy("cell").agg(F.min_by("root", "node").alias("first"))
-            candidates = placed.join(first, "cell").filter("root != first").drop("first")
-        else:
-            candidates = placed
-        centres = candidates.groupBy("cell").agg(F.min(F.struct("node", "root", "size")).alias("c"))
+        order = F.xxhash64("node", F.lit(number))
+        centres = placed.groupBy("cell").agg(F.min_by(F.struct("node", "root", "size"), order).alias("c"))
         meets = placed.join(centres, "cell").filter((F.col("root") != F.col("c.root")) & _close(F.col("size"), F.col("c.size"), classes.similarity))
-        classes.try_pairs(meets.groupBy("node").agg(F.min("c.node").alias("b")).withColumnRenamed("node", "a"))
+        often = meets.groupBy("node", F.col("c.node").alias("b")).agg(F.count("*").alias("n"))
+        classes.try_pairs(often.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
 
 
 def _left_pairs(shared: DataFrame, classes: _Classes) -> DataFrame:
