@@ -4,8 +4,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skeinwatch import schemas as S
 from skeinwatch.functions.scalars import rnd
+from skeinwatch.operators.prefix import before_slices
 from skeinwatch.operators.windows import SECOND
 
+_DAY_US = 86400 * SECOND
+
 
 def recent_alerts(alerts: DataFrame, n: int = 50, offset: int = 0) -> DataFrame:
     """Newest first, with a stable tie-break."""
@@ -168,19 +171,25 @@ def throughput_series(flows: DataFrame, seconds: int = 60) -> DataFrame:
 
 
 def running_peak(series: DataFrame) -> DataFrame:
-    """Highest rate so far; one row per bucket, already reduced by the time windows."""
-    so_far = Window.orderBy("bucket_us").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return series.withColumn("peak_megabits_per_sec", F.max("megabits_per_sec").over(so_far))
+    """Highest rate so far; one row per bucket, already reduced by the time windows. Days are scanned, one row each, then buckets within a day."""
+    daily = series.withColumn("_day", F.floor(F.col("bucket_us") / _DAY_US))
+    before = before_slices(daily, [], "_day", {"_before": F.max("megabits_per_sec")}, F.max)
+    so_far = Window.partitionBy("_day").orderBy("bucket_us").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    peak = F.greatest(F.max("megabits_per_sec").over(so_far), "_before")
+    return daily.join(before, "_day").select(*series.columns, peak.alias("peak_megabits_per_sec"))
 
 
 def downsample(series: DataFrame, limit: int = 140) -> DataFrame:
-    """Every k-th bucket and the last one."""
-    numbered = series.withColumn(
-        "_i", F.row_number().over(Window.orderBy("bucket_us")) - 1
-    ).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    """Every k-th bucket and the last one. A bucket's number is its number within its day and the count of the days before."""
+    daily = series.withColumn("_day", F.floor(F.col("bucket_us") / _DAY_US))
+    days, every = daily.groupBy("_day").agg(F.count(F.lit(1)).alias("_c")), Window.partitionBy(F.lit(0))
+    earlier = F.sum("_c").over(every.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select("_day", F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_c").over(every).alias("_n"))
+    at = F.row_number().over(Window.partitionBy("_day").orderBy("bucket_us")) - 1 + F.col("_before")
+    numbered = daily.join(days, "_day").withColumn("_i", at)
     step = F.greatest(F.ceil(F.col("_n") / limit), F.lit(1))
     keep = (F.col("_i") % step == 0) | (F.col("_i") == F.col("_n") - 1)
-    return numbered.filter((F.col("_n") <= limit) | keep).drop("_i", "_n")
+    return numbered.filter((F.col("_n") <= limit) | keep).select(*series.columns)
 
 
 def class_counts(alerts: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ key alone puts a hot key into one task. Both are avoided here:
   one running sum inside (key, bucket);
 * an exact distinct count needs only the first stamp of a value in b and its last stamp in
   b-1, both plain aggregates with map-side combine;
-* steps of one instant are summed before the window sees them, so a (key, bucket) group
-  holds at most a few rows per microsecond of 2W, however many records it stands for.
+* steps of one instant are summed first, and the running sum has two levels (`prefix`): a
+  (key, bucket) is cut into slices of W / 64, so a hot key is spread over some hundred tasks.
 
 `tie="peers"` lets records of one instant see each other (independent of arrival order);
 `tie="arrival"` orders them by `seq`, as a sequential reader would.
@@ -19,7 +19,10 @@ key alone puts a hot key into one task. Both are avoided here:
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from skeinwatch.operators.prefix import running_sums
+
 SECOND = 1000000
+SLICES = 64  # of a window's width
 BEFORE = -1  # ordering of steps that take effect before any record of the same instant
 
 
@@ -74,14 +77,8 @@ def sliding_features(
     instants = steps.groupBy(*names, "_b", "_t", "_o").agg(
         F.max("_hit").alias("_hit"), *[F.sum(o).alias(o) for o in outputs]
     )
-    run = (
-        Window.partitionBy(*names, "_b")
-        .orderBy("_t", "_o")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    out = instants.select(
-        *names, "_t", "_o", "_hit", *[F.sum(o).over(run).alias(o) for o in outputs]
-    ).filter("_hit = 1")
+    sliced = instants.withColumn("_s", bucket_of(F.col("_t"), max(1, width // SLICES)))
+    out = running_sums(sliced, [*names, "_b"], "_s", ["_t", "_o"], outputs).filter("_hit = 1")
     order = [F.col("_o").alias("seq")] if tie == "arrival" else []
     return out.select(*names, F.col("_t").alias("ts_us"), *order, *outputs)
 

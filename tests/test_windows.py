@@ -156,3 +156,37 @@ def test_no_window_task_grows_with_a_hot_key(spark):
     windows = [line for line in plan.splitlines() if "hashpartitioning" in line]
     assert all("_b#" in line for line in windows)
     assert feats.agg(F.max("n")).first()[0] == 11
+
+
+@pytest.mark.parametrize("tie", ["peers", "arrival"])
+def test_a_hot_key_is_cut_into_slices(spark, tie):
+    """One key with 20,000 records in 10 seconds beside quiet ones: equal to the plain frame, and no group of the windows holds much of it."""
+    hot = spark.range(20_000).select(
+        F.col("id").alias("seq"), (F.col("id") * 7919 % 10_000_000).alias("ts_us"), F.lit("hot").alias("k"), (F.col("id") % 300).cast("string").alias("v"), (F.col("id") % 11).alias("n")
+    )
+    quiet = spark.range(60).select(F.col("id") + 20_000, F.col("id") * 500_000, F.when(F.col("id") % 3 > 0, F.concat(F.lit("q"), F.col("id") % 3)), F.lit("x"), F.lit(1).cast("bigint"))
+    rows = hot.union(quiet).cache()
+    feats = win.sliding_features(rows, {"k": F.col("k")}, 10, sums={"cnt": F.lit(1), "total": F.col("n")}, distincts={"v": (F.col("v"), {"dv": 1})}, tie=tie)
+    got = {(r["k"], r["ts_us"], r["seq"] if tie == "arrival" else None): (r["cnt"], r["total"], r["dv"]) for r in feats.collect()}
+    plain = rows.rdd.map(tuple).collect()
+    by_key = {}
+    for seq, t, k, v, n in sorted(plain, key=lambda r: (r[1], r[0])):
+        by_key.setdefault(k, []).append((t, seq, v, n))
+    for k, found in by_key.items():
+        for i in range(0, len(found), 997 if k == "hot" else 1):
+            t, seq = found[i][:2]
+            seen = [r for r in found if t - W <= r[0] <= t and (tie == "peers" or (r[0], r[1]) <= (t, seq))]
+            assert got[k, t, seq if tie == "arrival" else None] == (len(seen), sum(r[3] for r in seen), len({r[2] for r in seen}))
+    sliced = rows.filter("k = 'hot'").groupBy(win.bucket_of(F.col("ts_us"), 10_000_000 // win.SLICES)).count().agg(F.max("count")).first()[0]
+    assert sliced < 20_000 / 50
+    rows.unpersist()
+
+
+def test_running_sums_over_slices(spark):
+    from skeinwatch.operators.prefix import running_sums
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "b", None]), t, rnd.randrange(-5, 9)) for t in rnd.sample(range(4000), 700)]
+    frame = spark.createDataFrame([(k, t, t // 37, n) for k, t, n in rows], "k string, t long, s long, n long")
+    got = {(r["k"], r["t"]): r["n"] for r in running_sums(frame, ["k"], "s", ["t"], ["n"]).collect()}
+    assert got == {(k, t): sum(m for j, u, m in rows if j == k and u <= t) for k, t, _ in rows}
