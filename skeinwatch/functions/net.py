@@ -4,10 +4,7 @@ An IPv4 address is 8 digits and an IPv6 address 32; the width doubles as the fam
 and a v4 value can never fall inside a v6 range.
 """
 
-import ipaddress
-
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4 = f"^{_OCTET}(\\.{_OCTET}){{3}}$"
@@ -67,39 +64,47 @@ def ip_num(ip: Column) -> Column:
     )
 
 
-_RANGE = T.StructType(
-    [
-        T.StructField("lo", T.StringType()),
-        T.StructField("hi", T.StringType()),
-        T.StructField("prefix_len", T.IntegerType()),
-    ]
-)
-
-
-@F.pandas_udf(_RANGE)
-def cidr_range(criterion: pd.Series) -> pd.DataFrame:
-    """Address range of an address or CIDR block (host bits ignored); nulls when invalid.
-
-    Runs on rule tables only; traffic uses the `ip_hex` expression.
-    """
-    rows = []
-    for text in criterion:
-        try:
-            net = ipaddress.ip_network(text, strict=False)
-        except (ValueError, TypeError):
-            rows.append((None, None, None))
-            continue
-        width = 8 if net.version == 4 else 32
-        rows.append(
-            (
-                f"{int(net.network_address):0{width}X}",
-                f"{int(net.broadcast_address):0{width}X}",
-                net.prefixlen,
-            )
-        )
-    out = pd.DataFrame(rows, columns=["lo", "hi", "prefix_len"])
-    out["prefix_len"] = out["prefix_len"].astype("Int32")
-    return out
+def _netmask_len(mask: Column) -> Column:
+    """Prefix length of a dotted netmask or host mask; null when its ones are not in one run."""
+    n = ip_num(mask)
+
+    def ones_first(x: Column) -> Column:
+        rest = F.lit((1 << 32) - 1) - x  # must be 2^k - 1
+        return F.when(rest.bitwiseAND(rest + 1) == 0, F.lit(32) - F.bit_count(rest))
+
+    return F.coalesce(ones_first(n), ones_first(F.lit((1 << 32) - 1) - n))
+
+
+def _ends(addr: Column, prefix: Column) -> Column:
+    """lo, hi, prefix_len of an address in hexadecimal; digits beyond the prefix become 0 or F, one digit may be cut."""
+    width, whole = F.length(addr), F.floor(prefix / 4).cast("int")
+    keep = F.lit(15) - F.element_at(F.array(*[F.lit(15 >> i) for i in range(4)]), (prefix % 4 + 1).cast("int"))
+    digit = F.conv(F.substring(addr, whole + 1, F.lit(1)), 16, 10).cast("int")
+
+    def end(cut: Column, fill: str) -> Column:
+        head = F.concat(F.substring(addr, F.lit(1), whole), F.when(whole < width, F.hex(cut)).otherwise(""))
+        return F.rpad(head, width, fill)
+
+    low = F.coalesce(digit, F.lit(0)).bitwiseAND(keep)
+    high = F.coalesce(digit, F.lit(0)).bitwiseOR(F.lit(15) - keep)
+    return F.struct(end(low, "0").alias("lo"), end(high, "F").alias("hi"), prefix.cast("int").alias("prefix_len"))
+
+
+def cidr_range(criterion: Column) -> Column:
+    """Address range of an address or CIDR block (host bits ignored) as a struct of lo, hi, prefix_len; nulls when invalid. No Python."""
+    parts = F.split(criterion, "/")
+    size = F.try_element_at(parts, F.lit(2))
+
+    def prefix(addr: Column) -> Column:
+        bits = F.length(addr) * 4
+        given = F.when(size.rlike("^[0-9]+$"), size.try_cast("int")).when(F.length(addr) == 8, _netmask_len(size))
+        number = F.when(F.size(parts) == 1, bits).when(F.size(parts) == 2, given)
+        return F.when(number <= bits, number)
+
+    # bound step by step in arrays of one item, so that each is computed once
+    found = F.transform(F.array(ip_hex(F.element_at(parts, 1))), lambda a: F.struct(a.alias("a"), prefix(a).alias("p")))
+    whole = F.filter(found, lambda x: x["a"].isNotNull() & x["p"].isNotNull())
+    return F.try_element_at(F.transform(whole, lambda x: _ends(x["a"], x["p"])), F.lit(1))
 
 
 def in_range(ip: Column, addr_hex: Column, criterion: Column, lo: Column, hi: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skeinwatch import schemas as S
-from skeinwatch.functions import net, scalars as fn
+from skeinwatch.functions import net, scalars as fn, sql
 from skeinwatch.operators import alerts as al, analytics as an, baseline as base, detectors as det, lifecycle as life
 from skeinwatch.operators import normalize as norm, packets as pk, suppression as sup, triage as tri
 from skeinwatch.operators import thresholds as thr, windows as win
@@ -147,6 +147,33 @@ def _(spark, d):
     )
 
 
+# the same three from SQL text; their SQL is that of the column forms
+
+
+def _from_sql(spark, d, text: str) -> DataFrame:
+    sql.register(spark)
+    return spark.sql(text, fl=flows(spark, d))
+
+
+@query("sql_shannon_entropy", SQL["shannon_entropy"])
+def _(spark, d):
+    return _from_sql(spark, d, "SELECT seq, shannon_entropy(dns_query) AS h FROM {fl} WHERE dns_query IS NOT NULL")
+
+
+@query("sql_flow_ratio", SQL["flow_ratio"])
+def _(spark, d):
+    return _from_sql(spark, d, "SELECT seq, flow_ratio(bytes_out, bytes_in) AS byte_ratio FROM {fl}")
+
+
+@query("sql_ip_in_cidr", SQL["ip_in_cidr"])
+def _(spark, d):
+    return _from_sql(
+        spark, d,
+        "SELECT seq, ip_in_cidr(src_ip, '192.168.77.5/16') AS in16, ip_in_cidr(src_ip, '203.0.113.8/29') AS in29, "
+        "ip_in_cidr(src_ip, '10.42.9.88') AS in_host, ip_in_cidr(src_ip, '2001:db8::/32') AS in_v6 FROM {fl}",
+    )
+
+
 @query("clean_ip", O.FLOWS + " SELECT seq, src_ip AS plain, src_ip AS with_port, '2001:db8::1' AS v6 FROM fl")
 def _(spark, d):
     return flows(spark, d).select(

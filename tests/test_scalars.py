@@ -99,3 +99,43 @@ def test_cidr_membership(spark):
 def test_clean_ip(spark):
     for raw, want in [("10.0.0.1:443", "10.0.0.1"), (" 10.0.0.1 ", "10.0.0.1"), ("2001:db8::1", "2001:db8::1"), (None, "")]:
         assert one(spark, c=net.clean_ip(F.lit(raw).cast("string")))["c"] == want
+
+
+BLOCKS = [
+    "10.0.0.0/8", "10.1.2.3/31", "10.1.2.3/32", "0.0.0.0/0", "10.1.0.0/255.255.0.0", "10.1.0.0/0.0.255.255", "10.1.0.0/255.0.255.0", "10.1.2.3/33", "10.1.2.3/", "10.1.2.3/a",
+    "10.1.2.3/8/9", "10.1.2", "10.01.2.3", "2001:db8::/29", "2001:db8:1::/47", "::/0", "::1/128", "::1/129", "::ffff:1.2.3.4/120", "2001:db8::/255.0.0.0", "", "name", None,
+    "1.2.3.4/08", "1.2.3.4/-1", "1.2.3.4/ 8", "10.1.2.3/99999999999",
+]
+
+
+def test_cidr_ranges_are_those_of_the_standard_library(spark):
+    """The block's text is parsed by columns; the library is the reference for what is valid and where it begins and ends."""
+    import ipaddress
+
+    frame = spark.createDataFrame([(b,) for b in BLOCKS], "block string")
+    for block, got in frame.select("block", net.cidr_range(F.col("block")).alias("r")).collect():
+        try:
+            n = ipaddress.ip_network(block, strict=False) if block is not None else None
+        except ValueError:
+            n = None
+        width = 8 if n is None or n.version == 4 else 32
+        want = n and (f"{int(n.network_address):0{width}X}", f"{int(n.broadcast_address):0{width}X}", n.prefixlen)
+        assert (got and tuple(got)) == want, block
+
+
+def test_sql_functions_equal_the_column_functions(spark):
+    from skeinwatch.functions import scalars, sql
+
+    sql.register(spark)
+    ips = ["10.1.2.3", "10.1.2.2", "10.0.255.7", "2001:db8::1", "2001:db8:1:ffff::2", "2001:DB8:0::", "::1", "1.2.3.77", "::ffff:1.2.3.9", "name", "", None]
+    pairs = spark.createDataFrame([(i, b) for i in ips for b in BLOCKS], "ip string, block string")
+    pairs.createOrReplaceTempView("pairs")
+    asked = spark.sql("SELECT ip, block, ip_in_cidr(ip, block) AS got FROM pairs")
+    assert "Python" not in asked._jdf.queryExecution().executedPlan().toString()
+    want = {(r["ip"], r["block"]): r["w"] for r in pairs.select("ip", "block", net.ip_in_cidr(F.col("ip"), F.col("block")).alias("w")).collect()}
+    for r in asked.collect():
+        assert r["got"] == want[r["ip"], r["block"]], r
+    texts = spark.createDataFrame([("", -1, 5), ("aab", 10, 0), (None, None, 3), ("ab.cd*+é中", 7, 3), ("aaaa", 0, 9)], "t string, o bigint, i bigint")
+    texts.createOrReplaceTempView("texts")
+    got = spark.sql("SELECT shannon_entropy(t) AS h, flow_ratio(o, i) AS r FROM texts").collect()
+    assert got == texts.select(scalars.shannon_entropy(F.col("t")).alias("h"), scalars.flow_ratio(F.col("o"), F.col("i")).alias("r")).collect()
