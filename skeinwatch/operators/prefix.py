@@ -23,11 +23,18 @@ def running_sums(rows: DataFrame, keys: list[str], slice_column: str, order: lis
     Slices must follow the order, of which the first column is never null. What a slice begins with enters it as a row before all others, so there is no join
     and null keys are keys like any other.
     """
-    carried = before_slices(rows, keys, slice_column, {s: F.sum(s) for s in sums})
     mark = "_carried"
-    first = carried.select(
-        *[F.col(c) if c in (*keys, slice_column, *sums) else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns], F.lit(True).alias(mark)
-    )
+    others = [c for c in rows.columns if c not in (*keys, slice_column, *sums, *order)]
+    # the slices read every column, so that both branches are the same exchange and the rows are made once
+    reduced = rows.groupBy(*keys, slice_column).agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in others])
+    earlier = Window.partitionBy(*keys).orderBy(slice_column).rowsBetween(Window.unboundedPreceding, -1)
+
+    def start(c: str) -> Column:
+        if c in order:
+            return F.lit(None).cast(rows.schema[c].dataType).alias(c)
+        return F.sum(c).over(earlier).alias(c) if c in sums else F.col(c)
+
+    first = reduced.select(*[start(c) for c in rows.columns], F.lit(True).alias(mark))
     run = Window.partitionBy(*keys, slice_column).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = rows.withColumn(mark, F.lit(False)).unionByName(first)
     return every.select(*[F.sum(c).over(run).alias(c) if c in sums else F.col(c) for c in rows.columns], mark).filter(~F.col(mark)).drop(mark)
