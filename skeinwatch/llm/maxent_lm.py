@@ -291,7 +291,7 @@ def _gathered(tokens: DataFrame, model, observe: bool) -> tuple[np.ndarray, np.n
                     g = m.pair_bucket(one[part][near])
                     pairs += np.bincount(g * m.paired + ids[part][near], minlength=len(pairs))
                     continue
-                p = m.class_probabilities(buckets).T.astype(np.float64)  # a row a class: one count of buckets each
+                p = m.class_probabilities(buckets).T.astype(np.float64, order="C")  # a row a class, laid out as such: one count of buckets each
                 for b in buckets:
                     for c in range(m.n_classes):
                         total[:, c] += np.bincount(b, p[c], m.settings.buckets)
