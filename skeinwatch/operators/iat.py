@@ -4,13 +4,15 @@ Per instant r of a flow (m records, gap g to the instant before) the window keep
 m, bytes, g^2 and g*g' (neighbouring gaps). Each term is added when its record arrives and
 taken away when the record that opens the gap leaves the window, so no list of stamps is
 ever built and the sums stay exact integers. The first instant of the window is the
-successor of the last one that left.
+successor of the last one that left. Neighbours and running sums are taken within slices of a
+64th of the window and carried between them, so a hot flow is spread over many tasks.
 """
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skeinwatch.functions.scalars import flow_ratio, rnd, rnd_small
-from skeinwatch.operators.windows import SECOND, bucket_of, order_column
+from skeinwatch.operators.prefix import running_scans, with_neighbours
+from skeinwatch.operators.windows import SECOND, SLICES, bucket_of, order_column
 
 W300 = 300
 FEATURES = [
@@ -24,6 +26,11 @@ def _clog(c):
     return F.when(c <= 1, F.lit(0.0)).otherwise(c * F.log2(c.cast("double")))
 
 
+def _opener(t, o, m, following):
+    """The instant that opens a window, and the gap after it (none where records share the instant)."""
+    return F.struct(t.alias("t"), o.alias("o"), F.when(m > 1, F.lit(0).cast("bigint")).otherwise(following - t).alias("d"))
+
+
 def flow_window(
     rows: DataFrame, seconds: int = W300, tie: str = "peers", key: str = "flow_id"
 ) -> DataFrame:
@@ -37,61 +44,60 @@ def flow_window(
     stamps = stamps.groupBy(key, "ts_us", "_o").agg(
         F.count(F.lit(1)).alias("m"), F.sum("_bo").alias("bo"), F.sum("_bi").alias("bi")
     )
-    b = bucket_of(F.col("ts_us"), width)
+    # slices are whole tenths of a second, so that a tenth lies in one of them
+    tenth = F.floor((F.col("ts_us") + 50000) / 100000)
+    stamps = stamps.withColumn("tenth", tenth).withColumn("_s", F.floor(tenth / max(1, seconds * 10 // SLICES)))
+    stamps = stamps.withColumn("c", bucket_of(F.col("ts_us"), width))
+    stamps = with_neighbours(stamps, [key], "_s", ["ts_us", "_o"], ["ts_us", "_o", "m", "bo", "bi"])
+    in_tenth = Window.partitionBy(key, "_s", "tenth")
+    upto = in_tenth.orderBy("ts_us", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto_in_bucket = Window.partitionBy(key, "_s", "tenth", "c").orderBy("ts_us", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stamps = stamps.select(
+        "*",
+        F.sum("m").over(upto).alias("arrived"),
+        F.sum("m").over(upto_in_bucket).alias("arrived_in_bucket"),
+        F.sum("m").over(in_tenth).alias("tenth_total"),
+    )
     copies = stamps.withColumn(
         "_c",
         F.explode(
             F.array(
-                F.struct(b.alias("b"), F.lit(True).alias("own")),
-                F.struct((b + 1).alias("b"), F.lit(False).alias("own")),
+                F.struct(F.col("c").alias("b"), F.lit(True).alias("own")),
+                F.struct((F.col("c") + 1).alias("b"), F.lit(False).alias("own")),
             )
         ),
-    ).select(
-        key, "_c.b", "_c.own", "ts_us", "_o", "m", "bo", "bi",
-        F.floor((F.col("ts_us") + 50000) / 100000).alias("tenth"),
+    ).select("*", "_c.b", "_c.own")
+    # a bucket's group holds the records of the bucket and of the one before; neighbours outside it do not count
+    t, m, b = F.col("ts_us"), F.col("m"), F.col("b")
+    p1, p2 = (F.when(F.col(f"{c}.ts_us") >= (b - 1) * width, F.col(c)) for c in ("prev1", "prev2"))
+    n1, n2 = (F.when(F.col(f"{c}.ts_us") < (b + 1) * width, F.col(c)) for c in ("next1", "next2"))
+    copies = copies.select(
+        key, "b", "own", "ts_us", "_o", "m", "bo", "bi", "arrived", "arrived_in_bucket", "tenth_total",
+        p1.alias("p1"), p2.alias("p2"), n1.alias("n1"), n2.alias("n2"),
     )
-    # all windows below share the exchange on (flow, bucket); tenths rise with time
-    group = Window.partitionBy(key, "b").orderBy("tenth", "ts_us", "_o")
-    in_tenth = Window.partitionBy(key, "b", "tenth").orderBy("ts_us", "_o")
-    upto = in_tenth.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = F.col("ts_us")
-    prev1, prev2 = F.lag("ts_us", 1).over(group), F.lag("ts_us", 2).over(group)
+    p1, p2, n1, n2 = (F.col(f"{c}.ts_us") for c in ("p1", "p2", "n1", "n2"))
+    gap, gap_next = t - p1, n1 - t
+    entered = F.when(F.col("own"), F.col("arrived")).otherwise(F.col("arrived_in_bucket"))
+    left = F.col("tenth_total") - F.col("arrived") + m
+    zero = F.lit(0).cast("bigint")
     s = copies.select(
-        "*",
-        F.sum("m").over(upto).alias("arrived"),
-        F.sum("m").over(Window.partitionBy(key, "b", "tenth")).alias("tenth_total"),
-        prev1.alias("prev1"),
-        prev2.alias("prev2"),
-        F.lag("m", 1).over(group).alias("prev_m"),
-        F.lead("ts_us", 1).over(group).alias("next1"),
-    )
-    gap = t - F.col("prev1")
-    s = s.select(
-        "*",
-        F.coalesce(gap, F.lit(0)).alias("gap"),
-        F.when(gap <= width, gap * gap).otherwise(0).alias("sq"),
-        F.when(
-            (F.col("prev_m") == 1) & (t - F.col("prev2") <= width),
-            gap * (F.col("prev1") - F.col("prev2")),
-        ).otherwise(0).alias("pr"),
-        F.when(F.col("m") > 1, F.lit(0).cast("bigint")).otherwise(F.col("next1") - t).alias("opening"),
-        (_clog(F.col("arrived")) - _clog(F.col("arrived") - F.col("m"))).alias("ent_in"),
-    )
-    left = F.col("tenth_total") - F.col("arrived") + F.col("m")
-    s = s.select(
-        "*",
-        (_clog(left) - _clog(left - F.col("m"))).alias("ent_out"),
-        F.lead("sq", 1, 0).over(group).alias("sq_next"),
-        F.lead("pr", 2, 0).over(group).alias("pr_next"),
-        F.lead(F.struct(t.alias("t"), F.col("opening").alias("d")), 1).over(group).alias("after"),
+        key, "b", "own", t.alias("ts_us"), "_o", "m", "bo", "bi",
+        F.coalesce(gap, zero).alias("gap"),
+        F.when(gap <= width, gap * gap).otherwise(zero).alias("sq"),
+        F.when((F.col("p1.m") == 1) & (t - p2 <= width), gap * (p1 - p2)).otherwise(zero).alias("pr"),
+        F.when(gap_next <= width, gap_next * gap_next).otherwise(zero).alias("sq_next"),
+        F.when((F.col("n1.m") == 1) & (n2 - t <= width), (n2 - n1) * gap_next).otherwise(zero).alias("pr_next"),
+        (_clog(entered) - _clog(entered - m)).alias("ent_in"),
+        (_clog(left) - _clog(left - m)).alias("ent_out"),
+        _opener(t, F.col("_o"), m, n1).alias("here"),
+        F.when(n1.isNotNull(), _opener(n1, F.col("n1._o"), F.col("n1.m"), n2)).alias("after"),
     )
+    nothing = F.lit(None).cast(s.schema["after"].dataType)
     steps = F.array(
         F.struct(
             t.alias("t"), F.lit(1).alias("phase"), F.col("_o"), F.col("own").alias("own"),
-            F.col("m"), F.col("bo"), F.col("bi"), F.col("sq"), F.col("pr"),
-            F.col("ent_in").alias("ent"),
-            F.struct(t.alias("t"), F.col("opening").alias("d")).alias("here"),
-            F.lit(None).cast("struct<t:bigint,d:bigint>").alias("after"),
+            F.col("m").alias("n"), F.col("bo"), F.col("bi"), F.col("sq").alias("q"), F.col("pr").alias("p"),
+            F.col("ent_in").alias("ent"), F.col("here").alias("here"), nothing.alias("after"),
             F.col("m").alias("last_m"), F.col("gap").alias("last_gap"),
         ),
         F.when(
@@ -99,34 +105,19 @@ def flow_window(
             F.struct(
                 (t + (width + 1)).alias("t"), F.lit(0).alias("phase"), F.col("_o"),
                 F.lit(False).alias("own"),
-                (-F.col("m")).alias("m"), (-F.col("bo")).alias("bo"), (-F.col("bi")).alias("bi"),
-                (-F.col("sq_next")).alias("sq"), (-F.col("pr_next")).alias("pr"),
-                (-F.col("ent_out")).alias("ent"),
-                F.struct(t.alias("t"), F.col("opening").alias("d")).alias("here"),
-                F.col("after"),
-                F.lit(0).cast("bigint").alias("last_m"), F.lit(0).cast("bigint").alias("last_gap"),
+                (-F.col("m")).alias("n"), (-F.col("bo")).alias("bo"), (-F.col("bi")).alias("bi"),
+                (-F.col("sq_next")).alias("q"), (-F.col("pr_next")).alias("p"),
+                (-F.col("ent_out")).alias("ent"), F.col("here").alias("here"), F.col("after").alias("after"),
+                zero.alias("last_m"), zero.alias("last_gap"),
             ),
         ),
     )
     events = s.select(key, "b", F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("e"))
-    events = events.select(key, "b", "e.*")
-    run = (
-        Window.partitionBy(key, "b")
-        .orderBy("t", "phase", "_o")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    sums = events.select(
-        key, "t", "_o", "own", "phase", "last_m", "last_gap",
-        F.sum("m").over(run).alias("n"),
-        F.sum("bo").over(run).alias("bo"),
-        F.sum("bi").over(run).alias("bi"),
-        F.sum("sq").over(run).alias("q"),
-        F.sum("pr").over(run).alias("p"),
-        F.sum("ent").over(run).alias("ent"),
-        F.coalesce(
-            F.last("after", ignorenulls=True).over(run), F.first("here").over(run)
-        ).alias("opener"),
-    ).filter("own AND phase = 1")
+    events = events.select(key, "b", "e.*").withColumn("_s", bucket_of(F.col("t"), max(1, width // SLICES)))
+    # records leave in the order of their stamps: the last one to follow is the greatest, the first of all the least
+    scans = {**dict.fromkeys(["n", "bo", "bi", "q", "p", "ent"], F.sum), "after": F.max, "here": F.min}
+    sums = running_scans(events, [key, "b"], "_s", ["t", "phase", "_o"], scans)
+    sums = sums.withColumn("opener", F.coalesce("after", "here")).filter("own AND phase = 1")
     return _finish(sums, key, tie)
 
 

@@ -190,3 +190,38 @@ def test_running_sums_over_slices(spark):
     frame = spark.createDataFrame([(k, t, t // 37, n) for k, t, n in rows], "k string, t long, s long, n long")
     got = {(r["k"], r["t"]): r["n"] for r in running_sums(frame, ["k"], "s", ["t"], ["n"]).collect()}
     assert got == {(k, t): sum(m for j, u, m in rows if j == k and u <= t) for k, t, _ in rows}
+
+
+def test_neighbours_over_slices(spark):
+    """Two rows either way, over slices of one row, empty slices, null keys and the ends."""
+    from skeinwatch.operators.prefix import with_neighbours
+
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["a", "a", "b", None]), t) for t in rnd.sample(range(3000), 400)] + [("alone", 5)]
+    frame = spark.createDataFrame([(k, t, t // 20) for k, t in rows], "k string, t long, s long")
+    names = ["prev2", "prev1", "next1", "next2"]
+    got = {(r["k"], r["t"]): [r[n] and r[n]["t"] for n in names] for r in with_neighbours(frame, ["k"], "s", ["t"], ["t"]).collect()}
+    assert len(got) == len(rows)
+    for k, t in rows:
+        line = sorted(u for j, u in rows if j == k)
+        i = line.index(t)
+        assert got[k, t] == [line[j] if 0 <= j < len(line) else None for j in (i - 2, i - 1, i + 1, i + 2)]
+
+
+@pytest.mark.parametrize("tie", ["peers", "arrival"])
+def test_a_hot_flow_is_cut_into_slices(spark, tie):
+    """One flow with 6,000 records in 13 seconds, in bursts and gaps, beside a null key: window statistics equal to the plain list."""
+    rnd = random.Random(21)
+    stamps = [rnd.choice([rnd.randrange(13_000_000), 10_000_000 + rnd.randrange(-3, 4), rnd.randrange(130) * 100_000 + 50_000]) for _ in range(6000)]
+    rows = [(i, t, "hot", 1, 2) for i, t in enumerate(stamps)] + [(6000 + i, i * 700_000, None, 1, 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "seq bigint, ts_us bigint, flow_id string, bytes_out bigint, bytes_in bigint")
+    feats = flow_window(df, 10, tie)
+    got = {(g["flow_id"], g["ts_us"], g["seq"] if tie == "arrival" else None): g for g in feats.collect()}
+    for seq, t, k, _, _ in rows[::151] + rows[6000:]:
+        seen = [r for r in rows if r[2] == k and t - W <= r[1] <= t and (tie == "peers" or (r[1], r[0]) <= (t, seq))]
+        g = got[k, t, seq if tie == "arrival" else None]
+        mu, var, conc, auto = brute_iat([r[1] / 1e6 for r in seen])
+        assert (g["f300_count"], g["f300_first_us"]) == (len(seen), min(r[1] for r in seen))
+        assert g["iat_mean"] == pytest.approx(mu, abs=1e-9)
+        assert g["iat_autocorr"] == pytest.approx(auto, abs=1.1e-4)
+        assert g["stamp_entropy"] == pytest.approx(brute_entropy([r[1] / 1e6 for r in seen]), abs=1.1e-4)
