@@ -18,7 +18,7 @@ from skeinwatch.operators import thresholds as thr, windows as win
 from skeinwatch.operators.iat import flow_window
 from skeinwatch.plans import oracle as O
 from skeinwatch.plans.pipeline import alert_pipeline, candidate_records
-from skeinwatch.sources import archive, captures, logs, topics
+from skeinwatch.sources import archive, captures, logs, tail, topics
 from skeinwatch.sources.event_flows import BASE_US, STEP_US, flows
 from skeinwatch.sources.work import new_path
 
@@ -333,6 +333,20 @@ def _(spark, d):
     return _conn_columns(logs.normalize_lines(_dirty(_lines(spark, d)["conn"]), "conn"))
 
 
+_FOLLOWED = ["ts_us", "flow_id", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "flags", "bytes_out", "bytes_in", "packets_out", "packets_in", "uid"]
+
+
+@query("tail_zeek_logs", f"SELECT {', '.join(_FOLLOWED)} FROM ({_CONN_SQL})")
+def _(spark, d):
+    """The logs written, followed by a stream from their first byte to their last, and normalised."""
+    folder, out = new_path(spark, "followed-logs"), new_path(spark, "followed")
+    logs.write_logs(flows(spark, d), folder)
+    lines = tail.follow_lines(spark, f"{folder}/conn", "*.txt")
+    stream = lines.writeStream.format("parquet").option("checkpointLocation", f"{out}/position").trigger(availableNow=True).start(f"{out}/lines")
+    stream.awaitTermination()
+    return _conn_columns(logs.normalize_lines(spark.read.schema(lines.schema).parquet(f"{out}/lines"), "conn")).select(*_FOLLOWED)
+
+
 @query("rejected_log_lines", O.FLOWS + " SELECT count(*) AS n FROM fl WHERE seq % 10 = 0")
 def _(spark, d):
     return logs.rejected_lines(_dirty(_lines(spark, d)["conn"])).agg(F.count(F.lit(1)).alias("n"))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from skeinwatch import schemas as S
 from skeinwatch.operators.normalize import NORMALIZERS, enrich_by_uid, union_records
+from skeinwatch.sources import tail
 
 
 def arrival_order() -> Column:
@@ -75,15 +76,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """New log files as they appear (a growing file is picked up when it is rotated in)."""
+    """New log files as they appear, from any file system (`tail.follow_lines` also follows growing files, in a mounted folder)."""
     return (
         spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
         .withColumn("seq", F.shiftright(F.xxhash64("value"), 3))  # room for spreading three logs
     )
 
 
-def scan_logs(spark: SparkSession, kind: str, path: str) -> DataFrame:
-    return normalize_lines(read_lines(spark, path), kind)
+def scan_logs(spark: SparkSession, kind: str, path: str, by_byte: bool = False) -> DataFrame:
+    """`by_byte`: record numbers from file and byte (`sources.tail`), so that repeated runs give equal alert ids however files are split."""
+    return normalize_lines(tail.scan_lines(spark, path) if by_byte else read_lines(spark, path), kind)
 
 
 def normalize_lines(lines: DataFrame, kind: str, ingest_ts: Column | None = None) -> DataFrame:
