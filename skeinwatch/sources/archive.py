@@ -1,7 +1,11 @@
 """The alert archive: Parquet by month, notes, indicator exports."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+_RUN = "_archive_run"
+
 
 def month_of(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
@@ -16,8 +20,18 @@ def archive_layout(alerts: DataFrame) -> DataFrame:
     )
 
 
-def write_archive(alerts: DataFrame, path: str, mode: str = "append") -> None:
-    archive_layout(alerts).write.partitionBy("month").mode(mode).parquet(path)
+def write_archive(alerts: DataFrame, path: str, mode: str = "append", run: str | None = None) -> None:
+    """Writes alerts by month.
+
+    With the name of a `run` its alerts are a part of their own, which a repeated run replaces as a whole: running twice leaves the rows of one run, and
+    a run that was ended leaves none, as files count from its commit on. An archive is written with run names throughout or without.
+    """
+    if run is None:
+        archive_layout(alerts).write.partitionBy("month").mode(mode).parquet(path)
+        return
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", run):
+        raise ValueError(f"a run's name is made of letters, digits, _ and -: {run!r}")
+    archive_layout(alerts).write.partitionBy("month").mode("overwrite").parquet(f"{path}/{_RUN}={run}")
 
 
 def read_archive(
@@ -25,7 +39,7 @@ def read_archive(
 ) -> DataFrame:
     """Archived alerts; columns added later are null in old files. A time range prunes months."""
     df = spark.read.option("mergeSchema", "true").parquet(path)
-    df = df.withColumn("month", F.col("month").cast("string"))
+    df = df.drop(_RUN).withColumn("month", F.col("month").cast("string"))
     if since is not None:
         since = F.lit(since).cast("timestamp")
         df = df.filter((F.col("month") >= month_of(since)) & (F.col("timestamp") >= since))

@@ -223,3 +223,31 @@ def test_baseline_in_stretches_equals_plain_fold(spark):
                 d = r[3] - m
                 m, s = m + 0.02 * d, max(1.0, (s * s * 0.98 + 0.02 * d * d) ** 0.5)
         assert got[key]["ema_mean"] == pytest.approx(m, abs=1e-9) and got[key]["ema_std"] == pytest.approx(s, abs=1e-9)
+
+
+def test_a_repeated_run_leaves_the_archive_as_it_was(spark, tmp_path):
+    def alerts(ids, month="2024-01"):
+        rows = spark.createDataFrame([(i, f"{month}-15 10:00:00") for i in ids], "flow_id string, t string")
+        return rows.select("flow_id", F.to_timestamp("t").alias("timestamp"), F.lit("ddos").alias("threat_class"))
+
+    path = str(tmp_path / "archive")
+    flows = lambda **o: sorted(r["flow_id"] for r in archive.read_archive(spark, path, **o).collect())
+    archive.write_archive(alerts(["a", "b"]), path, run="001")
+    archive.write_archive(alerts(["c"], "2024-02").withColumn("more", F.lit(1)), path, run="002")
+    archive.write_archive(alerts(["a", "b"]), path, run="001")
+    assert flows() == ["a", "b", "c"]
+    assert flows(since="2024-02-01 00:00:00") == ["c"]
+    assert set(archive.read_archive(spark, path).columns) == {"flow_id", "timestamp", "threat_class", "more", "month"}
+    archive.write_archive(alerts(["a"], "2024-03"), path, run="001")  # the run found less, in another month
+    assert flows() == ["a", "c"]
+
+    def ends(batches):
+        raise RuntimeError("ended")
+        yield
+
+    broken = alerts(["x"], "2024-04")
+    with pytest.raises(Exception, match="ended"):
+        archive.write_archive(broken.mapInPandas(ends, broken.schema), path, run="003")
+    assert flows() == ["a", "c"]
+    with pytest.raises(ValueError):
+        archive.write_archive(broken, path, run="../other")
