@@ -1,18 +1,20 @@
-"""Inter-arrival statistics of each flow over [t-W, t], from running sums.
+"""Inter-arrival statistics of each flow over [t-W, t], from prefix sums.
 
-Per instant r of a flow (m records, gap g to the instant before) the window keeps sums of
-m, bytes, g^2 and g*g' (neighbouring gaps). Each term is added when its record arrives and
-taken away when the record that opens the gap leaves the window, so no list of stamps is
-ever built and the sums stay exact integers. The first instant of the window is the
-successor of the last one that left. Neighbours and running sums are taken within slices of a
-64th of the window and carried between them, so a hot flow is spread over many tasks.
+Of the records in a window, in order of time, the gaps, their squares and the products of
+neighbouring gaps are added up as exact integers: each sum is a difference of two prefix sums
+(`chunks`), and no list of stamps is ever built. The entropy of the stamps by tenths of a second
+adds c log c over the tenths; the first tenth of a window may be cut and is counted by itself. Logarithms are
+kept in units of 2^-36, so these sums are exact too.
 """
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField
 
 from skeinwatch.functions.scalars import flow_ratio, rnd, rnd_small
-from skeinwatch.operators.prefix import running_scans, with_neighbours
-from skeinwatch.operators.windows import SECOND, SLICES, bucket_of, order_column
+from skeinwatch.operators.chunks import fold_windows, long_field, longs, narrow, prefix, window_sum
+from skeinwatch.operators.windows import SECOND
 
 W300 = 300
 FEATURES = [
@@ -22,121 +24,65 @@ FEATURES = [
 ]
 
 
-def _clog(c):
-    return F.when(c <= 1, F.lit(0.0)).otherwise(c * F.log2(c.cast("double")))
+_UNIT = float(1 << 36)
 
 
-def _opener(t, o, m, following):
-    """The instant that opens a window, and the gap after it (none where records share the instant)."""
-    return F.struct(t.alias("t"), o.alias("o"), F.when(m > 1, F.lit(0).cast("bigint")).otherwise(following - t).alias("d"))
+def _clog(c: np.ndarray) -> np.ndarray:
+    return np.rint(c * np.log2(np.maximum(c, 1)) * _UNIT).astype(np.int64)
+
+
+def _statistics(block, frame, at):
+    t, first, last = frame.t, frame.first[at], frame.last[at]
+    opens = np.concatenate([[True], frame.group[1:] != frame.group[:-1]])
+    gap = np.where(opens, 0, np.diff(t, prepend=t[:1]))
+    squares, products = prefix(gap * gap), prefix(gap * np.concatenate([[0], gap[:-1]]))
+    second = np.minimum(first + 1, last)
+    third = np.minimum(first + 2, last + 1)
+    several = last > first
+    # rank of a record in its tenth, and the last record of the tenth
+    tenth = (t + 50000) // 100000
+    begins = np.flatnonzero(opens | np.concatenate([[True], tenth[1:] != tenth[:-1]]))
+    ends = np.append(begins[1:], len(t)) - 1
+    run = np.searchsorted(begins, np.arange(len(t)), side="right") - 1
+    rank = np.arange(len(t)) - begins[run] + 1
+    logs = prefix(_clog(rank) - _clog(rank - 1))
+    cut = np.minimum(ends[run[first]], last)
+    ent = _clog(cut - first + 1) + logs[last + 1] - logs[cut + 1]
+    return {
+        "n": pa.array(last - first + 1),
+        "bo": window_sum(block["bo"], frame, at), "bi": window_sum(block["bi"], frame, at),
+        "q": pa.array(squares[last + 1] - squares[first + 1]),
+        "p": pa.array(products[last + 1] - products[third]),
+        "ent": pa.array(ent / _UNIT),
+        "opener": pa.array(t[first]),
+        "d_first": pa.array(np.where(several, gap[second], 0)), "d_last": pa.array(np.where(several, gap[last], 0)),
+    }
 
 
 def flow_window(
     rows: DataFrame, seconds: int = W300, tie: str = "peers", key: str = "flow_id"
 ) -> DataFrame:
     """One row per (flow, instant) with FEATURES."""
-    width = seconds * SECOND
-    stamps = rows.select(
-        key, "ts_us", order_column(tie).alias("_o"),
-        F.coalesce("bytes_out", F.lit(0)).alias("_bo"),
-        F.coalesce("bytes_in", F.lit(0)).alias("_bi"),
-    )
-    stamps = stamps.groupBy(key, "ts_us", "_o").agg(
-        F.count(F.lit(1)).alias("m"), F.sum("_bo").alias("bo"), F.sum("_bi").alias("bi")
-    )
-    # slices are whole tenths of a second, so that a tenth lies in one of them
-    tenth = F.floor((F.col("ts_us") + 50000) / 100000)
-    stamps = stamps.withColumn("tenth", tenth).withColumn("_s", F.floor(tenth / max(1, seconds * 10 // SLICES)))
-    stamps = stamps.withColumn("c", bucket_of(F.col("ts_us"), width))
-    stamps = with_neighbours(stamps, [key], "_s", ["ts_us", "_o"], ["ts_us", "_o", "m", "bo", "bi"])
-    in_tenth = Window.partitionBy(key, "_s", "tenth")
-    upto = in_tenth.orderBy("ts_us", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto_in_bucket = Window.partitionBy(key, "_s", "tenth", "c").orderBy("ts_us", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stamps = stamps.select(
-        "*",
-        F.sum("m").over(upto).alias("arrived"),
-        F.sum("m").over(upto_in_bucket).alias("arrived_in_bucket"),
-        F.sum("m").over(in_tenth).alias("tenth_total"),
+    stamps = narrow(
+        rows, {key: F.col(key)}, tie, F.lit(True),
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(n) for c, n in (("bytes_out", "bo"), ("bytes_in", "bi"))],
     )
-    copies = stamps.withColumn(
-        "_c",
-        F.explode(
-            F.array(
-                F.struct(F.col("c").alias("b"), F.lit(True).alias("own")),
-                F.struct((F.col("c") + 1).alias("b"), F.lit(False).alias("own")),
-            )
-        ),
-    ).select("*", "_c.b", "_c.own")
-    # a bucket's group holds the records of the bucket and of the one before; neighbours outside it do not count
-    t, m, b = F.col("ts_us"), F.col("m"), F.col("b")
-    p1, p2 = (F.when(F.col(f"{c}.ts_us") >= (b - 1) * width, F.col(c)) for c in ("prev1", "prev2"))
-    n1, n2 = (F.when(F.col(f"{c}.ts_us") < (b + 1) * width, F.col(c)) for c in ("next1", "next2"))
-    copies = copies.select(
-        key, "b", "own", "ts_us", "_o", "m", "bo", "bi", "arrived", "arrived_in_bucket", "tenth_total",
-        p1.alias("p1"), p2.alias("p2"), n1.alias("n1"), n2.alias("n2"),
-    )
-    p1, p2, n1, n2 = (F.col(f"{c}.ts_us") for c in ("p1", "p2", "n1", "n2"))
-    gap, gap_next = t - p1, n1 - t
-    entered = F.when(F.col("own"), F.col("arrived")).otherwise(F.col("arrived_in_bucket"))
-    left = F.col("tenth_total") - F.col("arrived") + m
-    zero = F.lit(0).cast("bigint")
-    s = copies.select(
-        key, "b", "own", t.alias("ts_us"), "_o", "m", "bo", "bi",
-        F.coalesce(gap, zero).alias("gap"),
-        F.when(gap <= width, gap * gap).otherwise(zero).alias("sq"),
-        F.when((F.col("p1.m") == 1) & (t - p2 <= width), gap * (p1 - p2)).otherwise(zero).alias("pr"),
-        F.when(gap_next <= width, gap_next * gap_next).otherwise(zero).alias("sq_next"),
-        F.when((F.col("n1.m") == 1) & (n2 - t <= width), (n2 - n1) * gap_next).otherwise(zero).alias("pr_next"),
-        (_clog(entered) - _clog(entered - m)).alias("ent_in"),
-        (_clog(left) - _clog(left - m)).alias("ent_out"),
-        _opener(t, F.col("_o"), m, n1).alias("here"),
-        F.when(n1.isNotNull(), _opener(n1, F.col("n1._o"), F.col("n1.m"), n2)).alias("after"),
-    )
-    nothing = F.lit(None).cast(s.schema["after"].dataType)
-    steps = F.array(
-        F.struct(
-            t.alias("t"), F.lit(1).alias("phase"), F.col("_o"), F.col("own").alias("own"),
-            F.col("m").alias("n"), F.col("bo"), F.col("bi"), F.col("sq").alias("q"), F.col("pr").alias("p"),
-            F.col("ent_in").alias("ent"), F.col("here").alias("here"), nothing.alias("after"),
-            F.col("m").alias("last_m"), F.col("gap").alias("last_gap"),
-        ),
-        F.when(
-            ~F.col("own"),
-            F.struct(
-                (t + (width + 1)).alias("t"), F.lit(0).alias("phase"), F.col("_o"),
-                F.lit(False).alias("own"),
-                (-F.col("m")).alias("n"), (-F.col("bo")).alias("bo"), (-F.col("bi")).alias("bi"),
-                (-F.col("sq_next")).alias("q"), (-F.col("pr_next")).alias("p"),
-                (-F.col("ent_out")).alias("ent"), F.col("here").alias("here"), F.col("after").alias("after"),
-                zero.alias("last_m"), zero.alias("last_gap"),
-            ),
-        ),
-    )
-    events = s.select(key, "b", F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("e"))
-    events = events.select(key, "b", "e.*").withColumn("_s", bucket_of(F.col("t"), max(1, width // SLICES)))
-    # records leave in the order of their stamps: the last one to follow is the greatest, the first of all the least
-    scans = {**dict.fromkeys(["n", "bo", "bi", "q", "p", "ent"], F.sum), "after": F.max, "here": F.min}
-    sums = running_scans(events, [key, "b"], "_s", ["t", "phase", "_o"], scans)
-    sums = sums.withColumn("opener", F.coalesce("after", "here")).filter("own AND phase = 1")
+    counts = [long_field(c) for c in ("n", "bo", "bi", "q", "p", "opener", "d_first", "d_last")]
+    sums = fold_windows(stamps, [key], seconds * SECOND, _statistics, [*counts, StructField("ent", DoubleType())])
     return _finish(sums, key, tie)
 
 
 def _finish(sums: DataFrame, key: str, tie: str) -> DataFrame:
     n, gaps_n = F.col("n"), (F.col("n") - 1)
-    span = (F.col("t") - F.col("opener.t")).cast("double")
+    span = (F.col("_t") - F.col("opener")).cast("double")
     enough = n >= 3
-    single_instant = n == F.col("last_m")
     mean_us = F.try_divide(span, gaps_n.cast("double"))
     var_us = F.greatest(
         F.try_divide(F.col("q").cast("double"), gaps_n.cast("double")) - mean_us * mean_us,
         F.lit(0.0),
     )
     var = F.when(enough, var_us / 1e12).otherwise(0.0)
-    s = sums.select(
-        "*", span.alias("span"), mean_us.alias("mu"), var.alias("var"),
-        F.when(single_instant, F.lit(0)).otherwise(F.coalesce("opener.d", F.lit(0))).alias("d_first"),
-        F.when(single_instant | (F.col("last_m") > 1), F.lit(0)).otherwise(F.col("last_gap")).alias("d_last"),
-    )
+    s = sums.select("*", span.alias("span"), mean_us.alias("mu"), var.alias("var"))
     mu, var = F.col("mu"), F.col("var")
     num = (
         F.col("p").cast("double")
@@ -152,12 +98,12 @@ def _finish(sums: DataFrame, key: str, tie: str) -> DataFrame:
     entropy = F.log2(n.cast("double")) - F.col("ent") / n
     order = [F.col("_o").alias("seq")] if tie == "arrival" else []
     return s.select(
-        key, F.col("t").alias("ts_us"), *order,
+        key, F.col("_t").alias("ts_us"), *order,
         n.alias("f300_count"),
         F.col("bo").alias("f300_bytes_out"),
         F.col("bi").alias("f300_bytes_in"),
         flow_ratio(F.col("bo"), F.col("bi")).alias("f300_byte_ratio"),
-        F.col("opener.t").alias("f300_first_us"),
+        F.col("opener").alias("f300_first_us"),
         F.when(enough, mean_s).otherwise(0.0).alias("iat_mean"),
         rnd_small(var, 6).alias("iat_variance"),
         F.sqrt(var).alias("iat_stddev"),

@@ -3,15 +3,11 @@
 A RANGE frame re-aggregates the whole frame for every row, and a window partitioned by the
 key alone puts a hot key into one task. Both are avoided here:
 
-* time is cut into buckets of width W, so the window of a record at t touches only its own
-  bucket b and b-1;
-* every quantity becomes a step function: +v when a record arrives, -v at t+W+1 when it
-  leaves, and the total of bucket b-1 carried in at the start of b. The value at t is then
-  one running sum inside (key, bucket);
-* an exact distinct count needs only the first stamp of a value in b and its last stamp in
-  b-1, both plain aggregates with map-side combine;
-* steps of one instant are summed first, and the running sum has two levels (`prefix`): a
-  (key, bucket) is cut into slices of W / 64, so a hot key is spread over some hundred tasks.
+* time is cut into chunks, so one key is spread over many tasks, and narrow rows are shuffled
+  once, by (key, chunk) (`chunks`);
+* sums are differences of prefix sums at the ends of the window;
+* a value counts from a record to its next one or until it leaves, so a distinct count is what
+  has begun less what has ended.
 
 `tie="peers"` lets records of one instant see each other (independent of arrival order);
 `tie="arrival"` orders them by `seq`, as a sequential reader would.
@@ -19,7 +15,7 @@ key alone puts a hot key into one task. Both are avoided here:
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skeinwatch.operators.prefix import running_sums
+from skeinwatch.operators.chunks import fold_windows, long_field, narrow, window_distinct, window_sum
 
 SECOND = 1000000
 SLICES = 64  # of a window's width
@@ -61,130 +57,26 @@ def sliding_features(
     """
     sums = {k: _long(v) for k, v in (sums or {}).items()}
     distincts = distincts or {}
-    weights = {o: _long(w) for _, outs in distincts.values() for o, w in outs.items()}
-    outputs = list(sums) + list(weights)
-    width = seconds * SECOND
-    names = list(keys)
-    key_cols = [c.alias(n) for n, c in keys.items()]
+    ones = {o for _, outs in distincts.values() for o, w in outs.items() if isinstance(w, int) and w == 1}
+    weights = {o: _long(w) for _, outs in distincts.values() for o, w in outs.items() if o not in ones}
+    values = {f"_v_{n}": v.cast("string") for n, (v, _) in distincts.items()}
+    outs_of = {f"_v_{n}": list(outs) for n, (_, outs) in distincts.items()}
+    outputs = [*sums, *[o for outs in outs_of.values() for o in outs]]
     wanted = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
-    zero = F.lit(0).cast("bigint")
-
-    steps = _sum_steps(rows, key_cols, names, width, sums, weights, outputs, tie, wanted, zero)
-    if distincts:
-        steps = steps.unionByName(
-            _distinct_steps(rows, key_cols, names, width, distincts, weights, outputs, tie, zero)
-        )
-    instants = steps.groupBy(*names, "_b", "_t", "_o").agg(
-        F.max("_hit").alias("_hit"), *[F.sum(o).alias(o) for o in outputs]
-    )
-    sliced = instants.withColumn("_s", bucket_of(F.col("_t"), max(1, width // SLICES)))
-    out = running_sums(sliced, [*names, "_b"], "_s", ["_t", "_o"], outputs).filter("_hit = 1")
+    added, weighted = list(sums), list(weights)
+    columns = [c.alias(n) for n, c in {**sums, **weights, **values}.items()]
+
+    def fold(block, frame, at):
+        found = {name: window_sum(block[name], frame, at) for name in added}
+        for value, outs in outs_of.items():
+            by = [block[o] if o in weighted else None for o in outs]
+            found |= dict(zip(outs, window_distinct(block[value], by, frame, at)))
+        return found
+
+    base = narrow(rows, keys, tie, wanted, *columns)
+    out = fold_windows(base, list(keys), seconds * SECOND, fold, [long_field(o) for o in outputs])
     order = [F.col("_o").alias("seq")] if tie == "arrival" else []
-    return out.select(*names, F.col("_t").alias("ts_us"), *order, *outputs)
-
-
-def _sum_steps(rows, key_cols, names, width, sums, weights, outputs, tie, wanted, zero):
-    base = rows.select(
-        *key_cols,
-        F.col("ts_us").alias("_ts"),
-        order_column(tie).alias("_seq"),
-        wanted.cast("int").alias("_w"),
-        *[v.alias(n) for n, v in sums.items()],
-    )
-    b = bucket_of(F.col("_ts"), width)
-    before = F.lit(BEFORE).cast("bigint")
-    no = F.lit(0)
-
-    def step(bucket, t, o, hit, sign):
-        return F.struct(
-            bucket.alias("_b"), t.alias("_t"), o.alias("_o"), hit.alias("_hit"),
-            *[(F.col(n) * sign).alias(n) for n in sums],
-        )
-
-    if sums:
-        start_next = (b + 1) * width - 1
-        steps = F.array(
-            step(b, F.col("_ts"), F.col("_seq"), F.col("_w"), 1),
-            step(b + 1, start_next, before, no, 1),
-            step(b + 1, F.col("_ts") + width + 1, before, no, -1),
-        )
-        base = base.select(*names, F.explode(steps).alias("_s")).select(*names, "_s.*")
-    else:
-        base = base.filter("_w = 1").select(
-            *names, b.alias("_b"), F.col("_ts").alias("_t"), F.col("_seq").alias("_o"),
-            F.col("_w").alias("_hit"),
-        )
-    return base.select(
-        *names, "_b", "_t", "_o", "_hit",
-        *[F.col(o) if o in sums else zero.alias(o) for o in outputs],
-    )
-
-
-def _distinct_steps(rows, key_cols, names, width, distincts, weights, outputs, tie, zero):
-    b = bucket_of(F.col("_ts"), width)
-    base = rows.select(
-        *key_cols,
-        F.col("ts_us").alias("_ts"),
-        order_column(tie).alias("_seq"),
-        *[v.cast("string").alias(f"_v_{n}") for n, (v, _) in distincts.items()],
-        *[w.alias(o) for o, w in weights.items()],
-    )
-    # a plain number keeps the aggregate hash-based; arrival order needs the pair
-    peers = tie == "peers"
-    here = F.col("_ts") if peers else F.struct(F.col("_ts").alias("t"), F.col("_seq").alias("o"))
-    none_here = F.lit(None).cast("bigint" if peers else "struct<t:bigint,o:bigint>")
-    none_t = F.lit(None).cast("bigint")
-
-    def token(name, outs, bucket, first, last):
-        return F.struct(
-            F.lit(name).alias("_kind"), F.col(f"_v_{name}").alias("_value"),
-            bucket.alias("_b"), first.alias("_first"), last.alias("_last"),
-            *[(F.col(o) if o in outs else zero).alias(o) for o in weights],
-        )
-
-    tokens = []
-    for name, (_, outs) in distincts.items():
-        tokens.append(token(name, outs, b, here, none_t))
-        tokens.append(token(name, outs, b + 1, none_here, F.col("_ts")))
-    spans = (
-        base.select(*names, F.explode(F.array(*tokens)).alias("_k"))
-        .select(*names, "_k.*")
-        .filter("_value IS NOT NULL")
-        .groupBy(*names, "_kind", "_value", "_b")
-        .agg(
-            F.min("_first").alias("_first"),
-            F.max("_last").alias("_last"),
-            *[F.max(o).alias(o) for o in weights],
-        )
-    )
-    first_t = F.col("_first") if peers else F.col("_first.t")
-    first_o = order_column(tie) if peers else F.col("_first.o")
-    leaves = F.col("_last") + (width + 1)
-    # the value is continuously present when it recurs before it would leave
-    joined_up = F.col("_last").isNotNull() & first_t.isNotNull() & (first_t < leaves)
-    before = F.lit(BEFORE).cast("bigint")
-
-    def step(cond, t, o, sign):
-        return F.when(
-            cond,
-            F.struct(
-                t.alias("_t"), o.alias("_o"), *[(F.col(o_) * sign).alias(o_) for o_ in weights]
-            ),
-        )
-
-    steps = F.array(
-        step(F.col("_last").isNotNull(), F.col("_b") * width - 1, before, 1),
-        step(F.col("_last").isNotNull() & ~joined_up, leaves, before, -1),
-        step(first_t.isNotNull() & ~joined_up, first_t, first_o, 1),
-    )
-    return (
-        spans.select(*names, "_b", F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("_s"))
-        .select(*names, "_b", "_s.*")
-        .select(
-            *names, "_b", "_t", "_o", F.lit(0).alias("_hit"),
-            *[F.col(o) if o in weights else zero.alias(o) for o in outputs],
-        )
-    )
+    return out.select(*keys, F.col("_t").alias("ts_us"), *order, *outputs)
 
 
 def sliding_max(
@@ -253,9 +145,12 @@ def sliding_max(
 
 
 def attach(rows: DataFrame, features: DataFrame, keys: list[str], tie: str = "peers") -> DataFrame:
-    """Give every record the window values of its (keys, instant)."""
+    """Give every record the window values of its (keys, instant).
+
+    There are about as many features as records, and their size is guessed too low for a broadcast to be safe.
+    """
     on = keys + ["ts_us"] + (["seq"] if tie == "arrival" else [])
-    return rows.join(features, on, "left")
+    return rows.join(features.hint("merge"), on, "left")
 
 
 def window_lookup(rows: DataFrame, key: Column, value, at_us: int, seconds: int) -> DataFrame:
