@@ -225,6 +225,30 @@ def test_baseline_in_stretches_equals_plain_fold(spark):
         assert got[key]["ema_mean"] == pytest.approx(m, abs=1e-9) and got[key]["ema_std"] == pytest.approx(s, abs=1e-9)
 
 
+def test_sparse_baseline_needs_few_rounds(spark, monkeypatch):
+    """A target with two values an hour for 300 hours beside a busy one: equal to the plain fold, in rounds that do not grow with time."""
+    import random
+
+    from skeinwatch.operators import baseline
+
+    rnd = random.Random(7)
+    rows = [(i, i * 1_800_000_000, "sparse", float(rnd.choice([20, 60, 110, 400]))) for i in range(600)]
+    rows += [(1000 + i, i * 1_000_000, "busy", float(rnd.choice([20, 60, 110]))) for i in range(13_000)]
+    df = spark.createDataFrame(rows, "seq bigint, ts_us bigint, k string, pps double")
+    folds, plain = [], baseline._fold
+    monkeypatch.setattr(baseline, "_fold", lambda *a: folds.append(1) or plain(*a))
+    got = {r["key"]: r for r in baseline.adaptive_baseline(df, F.col("k"), F.col("pps")).collect()}
+    assert len(folds) <= 3
+    for key in ("sparse", "busy"):
+        m, s = 50.0, 30.0
+        for x in (r[3] for r in rows if r[2] == key):
+            if x < m * 2.5:
+                d = x - m
+                m, s = m + 0.02 * d, max(1.0, (s * s * 0.98 + 0.02 * d * d) ** 0.5)
+        assert (got[key]["ema_mean"], got[key]["ema_std"]) == pytest.approx((m, s), abs=1e-9)
+    assert {k: r["n"] for k, r in got.items()} == {"sparse": 600, "busy": 13_000}
+
+
 def test_a_repeated_run_leaves_the_archive_as_it_was(spark, tmp_path):
     def alerts(ids, month="2024-01"):
         rows = spark.createDataFrame([(i, f"{month}-15 10:00:00") for i in ids], "flow_id string, t string")
