@@ -249,6 +249,19 @@ def test_sparse_baseline_needs_few_rounds(spark, monkeypatch):
     assert {k: r["n"] for k, r in got.items()} == {"sparse": 600, "busy": 13_000}
 
 
+def test_long_notes_are_shown_once_a_flow_and_spread(spark):
+    """A flow with long notes and many alerts: each alert has them all, made once a flow; its alerts meet them in several parts."""
+    noted = spark.range(3000).select(F.when(F.col("id") < 2900, "long").when(F.col("id") < 2990, "short").alias("flow_id"), F.format_string("note %040d", "id").alias("text"), F.timestamp_seconds(3000 - F.col("id")).alias("created_at"))
+    flows = spark.range(400).select(F.concat(F.lit("a"), "id").alias("alert_id"), F.when(F.col("id") < 300, "long").when(F.col("id") < 350, "short").when(F.col("id") < 390, "none").alias("flow_id"))
+    joined = life.alerts_with_notes(flows, noted, lambda n: F.array_join(F.transform(n, lambda x: x["text"]), ","))
+    text = lambda ids: ",".join(f"note {i:040d}" for i in ids)
+    wanted = {"long": text(range(2899, -1, -1)), "short": text(range(2989, 2899, -1))}
+    got = joined.collect()
+    assert len(got) == 400 and all(r["notes"] == wanted.get(r["flow_id"], "") for r in got)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert any("hashpartitioning(flow_id" in line and "_part" in line for line in plan.splitlines())
+
+
 def test_a_repeated_run_leaves_the_archive_as_it_was(spark, tmp_path):
     def alerts(ids, month="2024-01"):
         rows = spark.createDataFrame([(i, f"{month}-15 10:00:00") for i in ids], "flow_id string, t string")
