@@ -14,7 +14,7 @@ most 64 + 2016 others within two bits, so links grow in proportion to distinct f
 Two bits mean little more than a copy. `keep_one_similar` therefore takes near-duplicates by the Jaccard
 similarity of their word shingles: cells of the same grid and bands of shingle minima (32 of 4, so that a pair at
 0.8 is missed with a chance of 5e-8) propose pairs, and each is verified exactly on the shingle sets. Cells are shuffled once
-and those of a single document end there. In rounds each document is tried with one centre of its cells, so a group of m copies
+and those of a single document end there. In rounds each document is tried with one centre of its cells, first that which meets most others, so a group of m copies
 costs m pairs; what cells of several classes leave open is searched by prefixes of the rarest shingles.
 """
 
@@ -35,7 +35,8 @@ _RADIUS = 2
 _LOW_BITS = 0x5555555555555555
 _PLAIN = bytes(32 if i in string.punctuation.encode() else i for i in range(256))
 _BANDS, _BAND_ROWS = 32, 4
-_ROUNDS = 4
+_ROUNDS = 2
+_SLOTS = 1 << 25
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (_BANDS * _BAND_ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -209,6 +210,20 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _perhaps(rows: DataFrame, key: str, wanted: DataFrame, flag: str) -> DataFrame:
+    """`rows` with `flag`: false where `key` (not null) is surely none of the keys in `wanted`, true where a join has to tell.
+
+    All tasks get a bitmap of the keys' hashes, 4 MB whatever the sizes of the tables, so that rows without a partner are not shuffled to find that out.
+    """
+    number, bits = free_name(rows, "_number"), free_name(rows, "_bits")
+    slot = F.pmod(F.xxhash64(key), F.lit(_SLOTS)) + 1
+    map_ = wanted.groupBy(F.bitmap_bucket_number(slot).alias(number)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias(bits))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn(number, F.bitmap_bucket_number(slot)).join(F.broadcast(map_), number, "left")
+    return met.withColumn(flag, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop(number, bits)
+
+
 def _close(a: Column, b: Column, similarity: float) -> Column:
     """Whether sets of these sizes can be similar at all."""
     return F.least(a, b) + 1e-9 >= F.greatest(a, b) * similarity
@@ -237,12 +252,13 @@ class _Classes:
 def _rounds_of_centres(shared: DataFrame, classes: _Classes) -> None:
     """Links each node to a centre, one link a node and round: a group of m similar nodes costs m pairs, not m squares.
 
-    In each round a cell has another centre, the least by a hash of its own; nodes of other classes are tried with that centre they meet
-    in most cells, which is likely the most similar one. What rounds leave is searched afterwards, so their number decides on cost only.
+    In each round a cell has another centre: first the node that meets most others, as a text does of which the others are edits, then the
+    least by a hash of the round; nodes of other classes are tried with that centre they meet in most cells, which is likely the most similar
+    one. What rounds leave is searched afterwards, so their number decides on cost only.
     """
     for number in range(_ROUNDS):
         placed = classes.placed(shared)
-        order = F.xxhash64("node", F.lit(number))
+        order = F.struct(-F.col("met") if number == 0 else F.lit(0), F.xxhash64("node", F.lit(number)))
         centres = placed.groupBy("cell").agg(F.min_by(F.struct("node", "root", "size"), order).alias("c"))
         meets = placed.join(centres, "cell").filter((F.col("root") != F.col("c.root")) & _close(F.col("size"), F.col("c.size"), classes.similarity))
         often = meets.groupBy("node", F.col("c.node").alias("b")).agg(F.count("*").alias("n"))
@@ -260,9 +276,9 @@ def _left_pairs(shared: DataFrame, classes: _Classes) -> DataFrame:
     placed = classes.placed(shared)
     mixed = placed.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("cell")
     left = materialize(placed.join(mixed, "cell", "left_semi").select("node", "root", "size").distinct(), "left-nodes")
-    items = classes.sets.join(left, "node").select("node", "root", "size", F.explode("s").alias("shingle"))
+    items = classes.sets.join(left.select("node"), "node").select("node", F.explode("s").alias("shingle"))
     met = items.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    common = items.join(met, "shingle").groupBy("node").agg(F.first("root").alias("root"), F.first("size").alias("size"), F.collect_list(F.struct("df", "shingle")).alias("c"))
+    common = items.join(met, "shingle").groupBy("node").agg(F.collect_list(F.struct("df", "shingle")).alias("c")).join(left, "node")
     alone = F.col("size") - F.size("c")
     long = F.size("c") - F.ceil(F.col("size") * t - 1e-9) + 1
     prefix = F.slice(F.array_sort("c"), F.lit(1), F.greatest(long, F.lit(0)).cast("int"))
@@ -292,9 +308,12 @@ def keep_one_similar(docs: DataFrame, text: str = "text", id_column: str = "doc_
     grid = F.transform(marked_cells(segment_counts(F.col("fp"))), lambda m: m["cell"])
     cells = groups.repartition(slots, "node").select("node", "size", F.explode(F.concat("bands", grid)).alias("cell"))
     met = F.count("*").over(Window.partitionBy("cell"))
-    shared = materialize(cells.withColumn("n", met).filter("n > 1").drop("n"), "shared-cells")  # most cells have one node and end here
+    several = cells.withColumn("n", met).filter("n > 1")  # most cells have one node and end here
+    shared = materialize(several.withColumn("met", F.sum("n").over(Window.partitionBy("node"))).drop("n"), "shared-cells")
     wanted = prints.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    texts = docs.select(row.alias("row"), F.col(text).alias("t")).join(wanted, "row").dropDuplicates(["node"])
+    wanted = materialize(wanted, "wanted")
+    asked = _perhaps(docs.select(row.alias("row"), F.col(text).alias("t")), "row", wanted, "asked").filter("asked")
+    texts = asked.join(wanted, "row").dropDuplicates(["node"])
     sets = materialize(texts.select("node", _shingle_set(F.col("t"), width).alias("s")), "shingles")
 
     classes = _Classes(sets, similarity)
@@ -306,12 +325,13 @@ def keep_one_similar(docs: DataFrame, text: str = "text", id_column: str = "doc_
     best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("k"))
     judged = named.join(best, "root").select("row", "n", (F.col("row") == F.col("k.row")).alias("stays"))
     # only rows to drop, and kept ones that are there more than once, are looked up again
-    key = free_name(docs, "_row")
+    key, flag = free_name(docs, "_row"), free_name(docs, "_marked")
     marks = materialize(judged.filter("NOT stays OR n > 1").select(F.col("row").alias(key), "stays"), "marks")
-    keyed = docs.withColumn(key, row)
-    plain = keyed.join(marks, key, "left_anti")
-    repeated = keyed.join(marks.filter("stays"), key, "left_semi").dropDuplicates([key])
-    return plain.unionByName(repeated).drop(key)
+    keyed = _perhaps(docs.withColumn(key, row), key, marks, flag)
+    marked = keyed.filter(flag)
+    plain = keyed.filter(~F.col(flag)).unionByName(marked.join(marks, key, "left_anti"))
+    repeated = marked.join(marks.filter("stays"), key, "left_semi").dropDuplicates([key])
+    return plain.unionByName(repeated).drop(key, flag)
 
 
 def _key(doc_id: Column, fp: Column) -> Column:
