@@ -376,7 +376,9 @@ def with_features(rows: DataFrame, th, tie: str = "peers", emit: Column | None =
     sweep = probe_window(rows, tie, wanted=probes)
     flow = flow_window(rows, tie=tie)
     full = rows.filter(emit).withColumn("target", target_key(col("dst_ip"), col("dst_port")))
-    full = attach(full, target, ["target"], tie)
+    # between joins: a filter on it is pushed below a projection after them, and would compute it once for each mention
+    entropy, *ngrams = dns_lexical()
+    full = attach(full, target, ["target"], tie).select("*", entropy)
     full = attach(full, fan, ["src_ip"], tie)
     full = attach(full, sweep, ["src_ip"], tie)
     full = attach(full, flow, ["flow_id"], tie)
@@ -386,7 +388,7 @@ def with_features(rows: DataFrame, th, tie: str = "peers", emit: Column | None =
         for c in full.columns
     ]
     full = signature_match(full.select(*masked))
-    return full.select("*", *dns_lexical())
+    return full.select("*", *ngrams)
 
 
 _FLOW_FEATURES = {

@@ -383,3 +383,13 @@ def test_records_are_written_once_before_features_read_them(make_flows, monkeypa
     alert_pipeline(make_flows(train("10.9.9.9", [1000.0, 1001.0])))
     files = seen[0].inputFiles()
     assert files and all("/skeinwatch/records-" in f for f in files)
+
+
+def test_no_filter_computes_the_entropy_of_names(make_flows):
+    """A filter on it, pushed below its projection, computed it once for each mention, and was left out of code generation."""
+    flows = make_flows([{"t": 1.0, "src_ip": "10.0.0.1", "dst_ip": "8.8.8.8", "dst_port": 53, "dns_query": "a.example"}])
+    found = det.detect(det.with_features(flows, Thresholds()), Thresholds())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert filters and "LOG2(" in plan
+    assert not [line for line in filters if "LOG2(" in line]
