@@ -113,7 +113,10 @@ def _carry(at: Column, one: Column, up: bool) -> Column:
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """Pairs a < b of the column `fp` (distinct) that differ in at most two bits, each once."""
+    """Pairs a < b of the column `fp` (distinct) that differ in at most two bits, each once.
+
+    Cells are merged, never broadcast: Spark sizes them by the few bytes of the fingerprints, of which each becomes about fifty rows.
+    """
     slots = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = distinct.repartition(slots, "fp")  # a fixed number: small rows become about fifty each
     cells = spread.select("fp", F.explode(marked_cells(segment_counts(F.col("fp")))).alias("m")).select("fp", "m.cell", "m.step")
@@ -121,7 +124,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     a, b, i, j = F.col("x.fp"), F.col("y.fp"), F.col("x.step"), F.col("y.step")
     own = ((i == 0) & (j == 0)) | ((i == 0) & (j != 0)) | ((i != 0) & (j != 0) & (i != j) & (F.abs(i) <= F.abs(j)))
     near = F.bit_count(a.bitwiseXOR(b)) <= _RADIUS
-    return x.join(y, (F.col("x.cell") == F.col("y.cell")) & (a < b) & own & near).select(a.alias("a"), b.alias("b"))
+    return x.join(y.hint("merge"), (F.col("x.cell") == F.col("y.cell")) & (a < b) & own & near).select(a.alias("a"), b.alias("b"))
 
 
 def classes(fingerprints: DataFrame, id_column: str = "doc_id") -> DataFrame:

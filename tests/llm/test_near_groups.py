@@ -39,3 +39,15 @@ def test_bitmap_loses_no_key(spark):
     there = {r["k"] for r in wanted.collect()}
     assert there <= asked and len(asked) < len(there) + 30
     assert simhash._perhaps(keys, "k", wanted.limit(0), "asked").filter("asked").count() == 0
+
+
+def test_cells_of_fingerprints_are_never_broadcast(spark):
+    """Few bytes of fingerprints become fifty rows each: by Spark's guess they would fit a broadcast."""
+    prints = spark.range(200).select(F.xxhash64("id").alias("fp"))
+    distinct = prints.unionByName(prints.select(F.col("fp").bitwiseXOR(F.lit(5)).alias("fp")))
+    links = simhash.fingerprint_links(distinct)
+    found = {(r["a"], r["b"]) for r in links.collect()}
+    fps = [r["fp"] for r in prints.collect()]
+    assert found >= {(min(f, f ^ 5), max(f, f ^ 5)) for f in fps} and len(found) == 200
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
